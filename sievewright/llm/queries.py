@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# 2 ---------------------------------------------------------------------------------------------------------------------------
+def near_issues(spark: SparkSession, sf: str):
+    from sievewright.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf, "mined_issue"), "row_id", "problem_statement")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_issues(spark, sf).pairs().select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_issues(spark, sf).groups().withColumnRenamed("key", "row_id")
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------------
 P4_FIELDS = (("final_row", "buggy_slice"), ("final_row", "problem_statement"), ("scored", "raw_diff"))
 
@@ -30,6 +45,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).filter("piece_no = 1").select("tbl", "row_id", "field_name")
 
 
+# 5 ---------------------------------------------------------------------------------------------------------------------------
+def overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.crosssplit import cross_split_overlaps
+
+    return cross_split_overlaps(table(spark, sf, "final_row"), "row_id", "instance_id", "problem_statement", "split")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlaps(spark, sf).select(F.least("train_key", "eval_key").alias("row_id_a"), F.greatest("train_key", "eval_key").alias("row_id_b"))
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.crosssplit import overlap_report
+
+    return overlap_report(overlaps(spark, sf), table(spark, sf, "final_row").filter("split IN ('valid', 'test')"), "row_id", "split", "source")
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------------
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     from sievewright.llm.repetition import repetitive
@@ -76,8 +108,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
