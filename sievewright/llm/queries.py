@@ -62,6 +62,28 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap_report(overlaps(spark, sf), table(spark, sf, "final_row").filter("split IN ('valid', 'test')"), "row_id", "split", "source")
 
 
+# 6 ---------------------------------------------------------------------------------------------------------------------------
+def p6_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.truncation import truncated
+
+    texts = (
+        table(spark, sf, "cot")
+        .select(F.lit("cot").alias("tbl"), "row_id", "model", F.col("gen_text").alias("text"))
+        .unionByName(table(spark, sf, "refined").select(F.lit("refined").alias("tbl"), "row_id", "model", F.col("refined_repair_suggestion").alias("text")))
+    )
+    return truncated(texts, ["tbl", "row_id"], "text", ["tbl", "model"])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_truncated(spark, sf).filter("truncated").select("tbl", "row_id")
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.truncation import truncation_rates
+
+    return truncation_rates(p6_truncated(spark, sf), ["tbl", "model"])
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------------
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     from sievewright.llm.repetition import repetitive
@@ -114,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
