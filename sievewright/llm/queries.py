@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# 1 ---------------------------------------------------------------------------------------------------------------------------
+def p1_judged(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.pairs import defective_pairs, fit_ends, fit_languages
+
+    answers = table(spark, sf, "prediction")
+    languages = fit_languages(table(spark, sf, "documents"), "text", "lang", "doc_id")
+    # a first section that a second one follows is whole
+    ends = fit_ends(answers.filter("char_length(repair_suggestion) > 20"), "row_id", "root_cause")
+    return defective_pairs(answers, "row_id", "instance_id", "raw_output", ("root_cause", "repair_suggestion"), table(spark, sf, "eval_prompt"), "prompt", languages, ends)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_judged(spark, sf).filter("defect IS NOT NULL")
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------------
 def near_issues(spark: SparkSession, sf: str):
     from sievewright.llm.neardup import near_duplicates
@@ -130,6 +145,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_judged": p1_judged,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p4_found": p4_found,
