@@ -144,6 +144,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).filter("exact").select("doc_id", "item_id")
 
 
+# 10 --------------------------------------------------------------------------------------------------------------------------
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.mojibake import restored
+
+    return restored(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_restored(spark, sf).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_judged": p1_judged,
@@ -161,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 SQL: dict[str, str] = {
