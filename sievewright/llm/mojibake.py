@@ -19,8 +19,14 @@ from pyspark.sql import functions as F
 
 
 #: Encodings that texts are taken to have been read in. Fixed value.
-SINGLE = ("cp1252", "cp437", "cp850", "cp1251", "mac_roman", "koi8-r")
+SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "cp1251", "mac_roman", "koi8-r")
+#: (written in, read in) of texts that never were UTF-8. Fixed value.
+LEGACY = (
+    ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("cp866", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp866", "latin-1"), ("koi8-r", "latin-1"),
+    ("gbk", "latin-1"), ("gbk", "cp1252"), ("shift_jis", "latin-1"), ("shift_jis", "cp1252"), ("euc_jp", "latin-1"), ("big5", "latin-1"), ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp850", "cp1252"),
+)
 LOST = "�"
+FOREIGN = re.compile(r"[^\x00-\x7f]")
 FOREIGN_WORD = re.compile(r"[A-Za-z]*[^\W\d_A-Za-z⺀-\U0003ffff][^\W\d_⺀-\U0003ffff]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 WIDE_RUN = re.compile(r"[⺀-�-Ͱ-ӿ‐-⁀℀-➿\xa0-\xff]*[⺀-퟿-][⺀-�Ͱ-ӿ‐-⁀℀-➿\xa0-\xff]*")
@@ -100,6 +106,8 @@ class Channel:
                 for per_byte in (True, False):
                     s = "".join(c if c < "\x80" else LOST * (len(c.encode()) if per_byte else 1) for c in w)
                     self.skeletons[s].append((n, w))
+        self.common = max(self.least, 2e-5 * sum(self.words.values()))
+        self.back = {r: {read_byte(b, r): b for b in range(128, 256)} for r in {r for _, r in LEGACY}}
         self.signs: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for c in known:
             if not c.isalpha():
@@ -194,6 +202,13 @@ class Channel:
 
     def wide_prefix(self, run: str, start: int) -> tuple[int, str] | None:
         """(end, original) of the longest stretch from `start` that is likelier garbled than meant."""
+        try:
+            head = b"\x80" if run[start] == "€" else run[start].encode("gbk")
+            after = run[start + 1 : start + 2].replace(LOST, "").encode("gbk") if 0xE0 <= head[0] else b""
+        except UnicodeEncodeError:
+            return None
+        if not 0xC2 <= head[0] <= 0xF4 or (len(head) > 1 and not 0x80 <= head[1] < 0xC0) or (after and not 0x80 <= after[0] < 0xC0):
+            return None
         lattice: list[int | None] = []
         ends = [0]
         stop = start
@@ -207,8 +222,6 @@ class Channel:
                     if c != "€":
                         break
                     b = b"\x80"
-                if len(lattice) == 0 and not 0xC2 <= b[0] <= 0xF4:
-                    return None
                 lattice += b
             stop += 1
             ends.append(len(lattice))
@@ -261,6 +274,42 @@ class Channel:
                     best[i + size] = (new, prefix + c)
         return best[n] and best[n][1]
 
+    # encodings other than UTF-8 --------------------------------------------------------------------------------------------
+    def undo_legacy(self, text: str) -> tuple[str, list[str]]:
+        """Lines of unknown words that some other pair of encodings turns into known ones, undone; and the pairs."""
+        out, found = [], []
+        for line in re.split(r"(?<=\n)", text):
+            if line.isascii() or len(wide := FOREIGN.findall(line)) < 3 or sum(c >= "⺀" for c in wide) * 2 > len(wide):
+                out.append(line)
+                continue
+            if 2 * sum(end - start for start, end, _ in self.hits(line)) >= len(wide):  # UTF-8 explains it
+                out.append(line)
+                continue
+            shown = self.known_share(line)
+            best = None
+            if shown < 0.6:
+                for wrote, read in LEGACY:
+                    back = self.back[read]
+                    try:
+                        new = bytes(ord(c) if c < "\x80" else back[c] for c in line).decode(wrote)
+                    except (KeyError, UnicodeDecodeError):
+                        continue
+                    share = self.known_share(new)
+                    if share >= 0.8 and share > shown + 0.3 and (best is None or share > best[0]):
+                        best = (share, new, f"{wrote}>{read}")
+            out.append(best[1] if best else line)
+            found += [best[2]] if best else []
+        return "".join(out), found
+
+    def known_share(self, line: str) -> float:
+        """The share of a line's words with non-ASCII letters, by letters, that are common in the corpus; CJK counts by character."""
+        words = [w for w in FOREIGN_WORD.findall(line)]
+        wide = [c for c in line if c >= "⺀"]
+        odd = sum(1 for c in line if "\x80" <= c < "\xa0" or c in "¤¦§¨©ª¬®¯±²³´¶·¸¹º¼½¾\xad")
+        total = sum(map(len, words)) + len(wide) + odd
+        good = sum(len(w) for w in words if self.words.get(w.lower(), 0) >= self.common) + sum(1 for c in wide if self.chars.get(c, 0) >= self.common)
+        return good / total if total else 1.0
+
     # lost bytes ------------------------------------------------------------------------------------------------------------
     def fill_lost(self, text: str, sure: float = 0.8) -> tuple[str, int]:
         """Words with lost bytes, filled where one word of the corpus is likely enough among all that fit; and what stays lost."""
@@ -288,8 +337,7 @@ class Channel:
 
     def restore(self, text: str) -> tuple[list[str], str, int]:
         """(encodings found, restored text, characters still lost); no encodings for a sound text."""
-        found: list[str] = []
-        now = text
+        now, found = self.undo_legacy(text)
         for _ in range(3):  # a text may have been garbled more than once
             new, used = self.undo(now)
             if not used:
