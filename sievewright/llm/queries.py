@@ -42,6 +42,18 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_issues(spark, sf).groups().withColumnRenamed("key", "row_id")
 
 
+# 3 ---------------------------------------------------------------------------------------------------------------------------
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    from sievewright.llm.residue import fit_labeller, residues
+
+    prs = table(spark, sf, "flat_pr")
+    return residues(prs, "row_id", "problem_statement", fit_labeller(prs, "row_id", "problem_statement"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_clean(spark, sf).select("row_id", F.explode("markups").alias("markup"))
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------------
 P4_FIELDS = (("final_row", "buggy_slice"), ("final_row", "problem_statement"), ("scored", "raw_diff"))
 
@@ -160,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_judged": p1_judged,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
