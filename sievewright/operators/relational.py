@@ -14,7 +14,7 @@ BROADCAST_BYTES = 64 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -113,11 +113,11 @@ def keyword_combinations(sections: list[Column], most: int = 15, caps: tuple[int
 
     p, e, c, d = (F.slice(F.coalesce(s, F.array().cast("array<string>")), 1, n) for s, n in zip(sections, caps, strict=True))
 
+    def extended(sets: Column, other: Column) -> Column:
+        return F.flatten(F.transform(sets, lambda have: F.transform(other, lambda x: F.concat(have, F.array(x)))))
+
     def crossed(*lists: Column) -> Column:
-        out = F.transform(lists[0], lambda x: F.array(x))
-        for other in lists[1:]:
-            out = F.flatten(F.transform(out, lambda have, other=other: F.transform(other, lambda x: F.concat(have, F.array(x)))))
-        return out
+        return reduce(extended, lists[1:], F.transform(lists[0], lambda x: F.array(x)))
 
     every = F.concat(crossed(p, e, c), crossed(p, d, e), crossed(p, c, d), crossed(p, e), crossed(p, c), crossed(p, d), crossed(p))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<array<string>>").alias("got"))

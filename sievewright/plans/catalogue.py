@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from sievewright.plans import diff_queries, relational_queries, score_queries, text_queries
+
+_PARTS = (relational_queries, text_queries, diff_queries, score_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang").count()
+    return QUERIES["flagship_training_rows"](spark, sf)
