@@ -190,11 +190,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_restored": p10_restored,
 }
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _near(table: str, where: str = "true", more: str = "") -> str:
+    """Common table expressions `w` (words), `e` (each word with its number among equal ones) and `near` (a, b, similarity)."""
+    return f"""w AS (SELECT row_id, {_WORDS.format("problem_statement")} AS w{more} FROM {table} WHERE {where}), big AS (SELECT *, len(w) AS n FROM w WHERE len(w) >= 10),
+        u AS (SELECT row_id, unnest(w) AS x FROM big), e AS (SELECT row_id, x, row_number() OVER (PARTITION BY row_id, x) AS k FROM u)"""
+
+
+_P5 = (
+    "WITH "
+    + _near("final_row", "split IN ('train', 'valid', 'test')", ", split = 'train' AS train")
+    + """, common AS (SELECT a.row_id AS t, b.row_id AS v, count(*) AS c FROM e a JOIN e b USING (x, k) JOIN big p ON p.row_id = a.row_id AND p.train JOIN big q ON q.row_id = b.row_id AND NOT q.train GROUP BY 1, 2),
+        near AS (SELECT t, v FROM common JOIN big p ON p.row_id = t JOIN big q ON q.row_id = v WHERE c / (p.n + q.n - c) >= 0.75),
+        ids AS (SELECT row_id, split = 'train' AS train, nullif(lower(regexp_replace(instance_id, '[^\\p{L}\\p{N}]', '', 'g')), '') AS i FROM final_row WHERE split IN ('train', 'valid', 'test')),
+        same AS (SELECT a.row_id AS t, b.row_id AS v FROM ids a JOIN ids b USING (i) WHERE a.train AND NOT b.train), every AS (SELECT * FROM near UNION SELECT * FROM same)
+    """
+)
+
+
+def _repeated(tbl: str, field: str) -> str:
+    words = _WORDS.format(f"coalesce({field}, '')")
+    return f"SELECT '{tbl}' AS tbl, row_id, {words} AS w FROM {tbl}"
+
+
 SQL: dict[str, str] = {
+    "p2_found": "WITH " + _near("mined_issue") + """ SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM e a JOIN e b USING (x, k) JOIN big p ON p.row_id = a.row_id JOIN big q ON q.row_id = b.row_id
+        WHERE a.row_id < b.row_id GROUP BY a.row_id, b.row_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.75""",
     "p4_found": """
         SELECT 'final_row' AS tbl, row_id, 'buggy_slice' AS field_name FROM final_row WHERE length(buggy_slice) > 3000
         UNION ALL SELECT 'final_row', row_id, 'problem_statement' FROM final_row WHERE length(problem_statement) > 3000
         UNION ALL SELECT 'scored', row_id, 'raw_diff' FROM scored WHERE length(raw_diff) > 3000
     """,
+    "p5_found": _P5 + "SELECT least(t, v) AS row_id_a, greatest(t, v) AS row_id_b FROM every",
+    "p5_report": _P5
+    + """, per AS (SELECT v AS row_id, count(*) AS n FROM every GROUP BY v)
+        SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs, round(count(n) / count(*), 6) AS share FROM final_row LEFT JOIN per USING (row_id) WHERE split IN ('valid', 'test') GROUP BY split, source""",
+    "p7_found": f"""WITH t AS ({_repeated("cot", "gen_text")} UNION ALL {_repeated("prediction", "raw_output")}), g AS (SELECT tbl, row_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 10),
+        k AS (SELECT tbl, row_id, n, i, row_number() OVER (PARTITION BY tbl, row_id, w[i:i + 4] ORDER BY i) > 1 AS again FROM g), c AS (SELECT DISTINCT tbl, row_id, n, unnest(range(i, i + 5)) AS at FROM k WHERE again)
+        SELECT tbl, row_id FROM c GROUP BY tbl, row_id, n HAVING count(*) / n >= 0.35""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM test_passage),
+        dw AS (SELECT doc_id, unnest([array_to_string(w[k:k + 19], ' ') for k in range(1, len(w) - 18)]) AS x FROM d WHERE len(w) >= 20), iw AS (SELECT item_id, unnest([array_to_string(w[k:k + 19], ' ') for k in range(1, len(w) - 18)]) AS x FROM i WHERE len(w) >= 20)
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
 }
