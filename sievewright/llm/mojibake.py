@@ -44,7 +44,7 @@ def read_byte(b: int, encoding: str) -> str:
 def corpus_tables(df: DataFrame, text: str, most_chars: int = 6000, most_words: int = 100_000) -> tuple[dict[str, int], dict[str, int]]:
     """How often each non-ASCII character, and each word with a non-ASCII letter (CJK aside), occurs in the whole corpus.
 
-    Counted over all texts; the commonest `most_chars` and `most_words` come to the driver, at most a few MB.
+    Counted over all texts; the commonest `most_chars` and `most_words` (of at most 64 letters) come to the driver, a few MB.
     """
     src = df.select(F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7F]"))
 
@@ -65,7 +65,7 @@ def corpus_tables(df: DataFrame, text: str, most_chars: int = 6000, most_words:
         yield out()
 
     counted = src.mapInArrow(count, "is_char boolean, token string, n long").filter("token > '\x7f' OR NOT is_char").groupBy("is_char", "token").agg(F.sum("n").alias("n"))
-    top = lambda kind, most: counted.filter(kind).filter("n > 1").orderBy(F.desc("n"), "token").limit(most)
+    top = lambda kind, most: counted.filter(kind).filter("n > 1 AND char_length(token) <= 64").orderBy(F.desc("n"), "token").limit(most)
     got = top("is_char", most_chars).unionByName(top("NOT is_char", most_words)).toArrow().to_pydict()
     rows = list(zip(got["is_char"], got["token"], got["n"], strict=True))
     return {t: n for c, t, n in rows if c}, {t: n for c, t, n in rows if not c}
@@ -285,7 +285,7 @@ class Channel:
             if 2 * sum(end - start for start, end, _ in self.hits(line)) >= len(wide):  # UTF-8 explains it
                 out.append(line)
                 continue
-            shown = self.known_share(line)
+            shown, _ = self.known_share(line)
             best = None
             if shown < 0.6:
                 for wrote, read in LEGACY:
@@ -294,21 +294,22 @@ class Channel:
                         new = bytes(ord(c) if c < "\x80" else back[c] for c in line).decode(wrote)
                     except (KeyError, UnicodeDecodeError):
                         continue
-                    share = self.known_share(new)
-                    if share >= 0.8 and share > shown + 0.3 and (best is None or share > best[0]):
+                    share, judged = self.known_share(new)
+                    if 2 * judged >= len(FOREIGN.findall(new)) > 0 and share >= 0.8 and share > shown + 0.3 and (best is None or share > best[0]):
                         best = (share, new, f"{wrote}>{read}")
             out.append(best[1] if best else line)
             found += [best[2]] if best else []
         return "".join(out), found
 
-    def known_share(self, line: str) -> float:
-        """The share of a line's words with non-ASCII letters, by letters, that are common in the corpus; CJK counts by character."""
+    def known_share(self, line: str) -> tuple[float, int]:
+        """The share of a line's words with non-ASCII letters, by letters, that are common in the corpus, and how many letters
+        that is of; CJK counts by character. A line without any has nothing unknown."""
         words = [w for w in FOREIGN_WORD.findall(line)]
         wide = [c for c in line if c >= "⺀"]
         odd = sum(1 for c in line if "\x80" <= c < "\xa0" or c in "¤¦§¨©ª¬®¯±²³´¶·¸¹º¼½¾\xad")
         total = sum(map(len, words)) + len(wide) + odd
         good = sum(len(w) for w in words if self.words.get(w.lower(), 0) >= self.common) + sum(1 for c in wide if self.chars.get(c, 0) >= self.common)
-        return good / total if total else 1.0
+        return (good / total if total else 1.0), total
 
     # lost bytes ------------------------------------------------------------------------------------------------------------
     def fill_lost(self, text: str, sure: float = 0.8) -> tuple[str, int]:
