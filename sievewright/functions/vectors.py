@@ -32,7 +32,7 @@ def softmax(xs: Column, beta: float = 1.0) -> Column:
 
 def adaptive_beta(xs: Column) -> Column:
     """1 less half the range, within 0.5 and 1; 1.0 for no values."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - 0.5 * (F.array_max(xs) - F.array_min(xs)))), F.lit(1.0))
+    return F.when(F.size(xs) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - 0.5 * (F.array_max(xs) - F.array_min(xs))))).otherwise(F.lit(1.0))
 
 
 def pooled_similarity(sims: Column, beta: float = 1.0) -> Column:

@@ -32,8 +32,7 @@ def query_and_chunks(spark, sf):
 def cosine_pairs(spark, sf):
     q = query_and_chunks(spark, sf).select("label", "q")
     e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    # one query vector for each of the few labels: a bounded side
-    j = e.join(F.broadcast(q), "label")
+    j = e.join(q, "label")
     return j.select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
 
 
