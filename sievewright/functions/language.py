@@ -73,10 +73,12 @@ def content_pieces(c: Column) -> Column:
 
 
 def preprocessed(c: str | Column) -> Column:
-    """A text whose code spans are CODETOKEN words and whose other signs are blanks."""
+    """struct(text, spans): a text whose code spans are CODETOKEN0, CODETOKEN1, … and whose other signs are blanks; the spans."""
     text = F.col(c) if isinstance(c, str) else c
-    spans = F.regexp_replace(text, r"`[^`]+`", " CODETOKEN ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spans, r"[\p{P}\p{S}]", " "), r"\s+", " "))
+    parts, spans = F.split(text, "`[^`]+`"), F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, r"[\p{P}\p{S}]", " "))
+    marked = F.transform(bare, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(" CODETOKEN"), i.cast("string"), F.lit(" "))).otherwise(p))
+    return F.struct(F.trim(F.regexp_replace(F.array_join(marked, ""), r"\s+", " ")).alias("text"), spans.alias("spans"))
 
 
 def _children(tokens: Column, head: Column) -> Column:

@@ -68,6 +68,14 @@ def retryable(message: str | Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(low, p))
 
 
+def usable_change(merged: str, shas: list[str], diff: str) -> Column:
+    """Merged, with every sha and a diff that isn't blank."""
+    out = F.coalesce(F.col(merged), F.lit(False)) & present(diff).isNotNull()
+    for s in shas:
+        out = out & present(s).isNotNull()
+    return out
+
+
 # trims ---------------------------------------------------------------------------------------------------------------------
 def tiered_length(n: Column, steps: tuple[tuple[int, int, float], ...] = ((3000, 3000, 0.5), (10001, 6000, 0.2))) -> Column:
     """How many of n characters to keep: for each step (from, base, share) the base and that share of what lies beyond it."""

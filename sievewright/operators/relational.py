@@ -142,3 +142,35 @@ def memoized(df: DataFrame, keys: list[str], fetched: DataFrame) -> DataFrame:
 def requests_for(df: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct keys to fetch; null keys are left out."""
     return df.select(*keys).dropna().distinct()
+
+
+def restricted(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with one of the given keys, and the given keys that no row has."""
+    return df.join(ids.select(key).distinct(), key, "left_semi"), missing_ids(ids, df, key)
+
+
+def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in order; all rows for 0."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def castable(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
+    """Rows whose columns can all be cast, cast."""
+    out = df.withColumns({c: F.col(c).cast("string").try_cast(kind) for c in columns})
+    return out.dropna(subset=columns)
+
+
+def run_summary(df: DataFrame, ok: Column, amount: str, key: str, most_failures: int = 1000) -> DataFrame:
+    """One row: rows, good rows, the sum of an amount, and the least keys of failed rows, at most `most_failures` of them."""
+    failed = df.filter(~F.coalesce(ok, F.lit(False))).select(key).orderBy(key).limit(most_failures).agg(F.sort_array(F.collect_list(key)).alias("failures"))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_ok"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
+    return counts.crossJoin(failed)  # one row each
+
+
+def positional_slices(items: Column, lengths: list[Column]) -> list[Column]:
+    """Consecutive slices of an array by their lengths: answers that came in one list, back to what was asked."""
+    out, start = [], F.lit(1)
+    for n in lengths:
+        out.append(F.slice(items, start, n))
+        start = start + n
+    return out

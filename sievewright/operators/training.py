@@ -111,6 +111,30 @@ def hash_split(df: DataFrame, key: str, ratio: float = 0.85, modulus: int = 10_0
     return df.withColumn("part", F.when(F.pmod(F.xxhash64(key), F.lit(modulus)) < int(ratio * modulus), "train").otherwise("held_out"))
 
 
+def exact_split(df: DataFrame, key: str, ratio: float = 0.85) -> DataFrame:
+    """`part` as `hash_split`, but exactly int(n * ratio) rows are train: the first by the hash of the key, ties by the key."""
+    from sievewright.operators.relational import row_numbers
+
+    hashed = df.withColumn("__hash", F.xxhash64(key))
+    n = df.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("__most"))  # one row
+    numbered = row_numbers(hashed, ["__hash", key], "__place").crossJoin(F.broadcast(n))
+    return numbered.withColumn("part", F.when(F.col("__place") <= F.col("__most"), "train").otherwise("held_out")).drop("__hash", "__place", "__most")
+
+
+def tokenized(input_: str, output: str, most: int, encode: Callable[[str], list[int]]) -> Column:
+    """struct(ids, prompt_length) of an input and its output, cut at a length; `encode` runs in Arrow batches."""
+
+    @F.pandas_udf("struct<ids:array<int>, prompt_length:int>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            head = encode(x or "")
+            rows.append(((head + encode(y or ""))[:most], min(len(head), most)))
+        return pd.DataFrame(rows, columns=["ids", "prompt_length"])
+
+    return run(input_, output)
+
+
 def preference_losses(df: DataFrame, tag: str, win: str, lose: str, beta: float = 1.0, weight: float = 0.1) -> DataFrame:
     """`sft_loss` (minus the mean log-probability of the winner), `ratio_loss` (0 for supervised rows) and `margin`."""
     orpo = tag_of(tag) == "ORPO"
