@@ -123,9 +123,37 @@ def piece_table(spark, tokenizer_file: str) -> DataFrame:
 
 
 def decode_corpus(encoded: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """`key` and text of every row of `key`, `ids`, through a join with the id-to-piece table. Empty lists give empty texts."""
-    rows = encoded.withColumn("__row", F.monotonically_increasing_id())
-    at = rows.select("__row", key, F.posexplode_outer("ids").alias("place", "id"))
-    joined = at.join(F.broadcast(pieces), "id", "left")  # as many rows as the vocabulary has ids
-    text = F.decode(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("piece_bytes").alias("h")))), lambda x: x["h"]), "")), "utf-8")
-    return joined.groupBy("__row").agg(F.first(key).alias(key), text.alias("text")).drop("__row")
+    """`key` and text of every row of `key`, `ids`: each id is joined with its piece, in place.
+
+    `pieces` has a row for each id of the vocabulary and so a fixed size; it goes to the executors as two arrays, and each batch
+    of ids is joined by position, without a shuffle. Empty and null lists give empty texts; ids without a piece are left out;
+    bytes that are no UTF-8 become U+FFFD. Repeated rows keep a row each; other columns are ignored.
+    """
+    table = pieces.select("id", "piece_bytes").toArrow().to_pydict()
+    size = max(table["id"], default=-1) + 1
+    parts = [b""] * size
+    for i, b in zip(table["id"], table["piece_bytes"], strict=True):
+        parts[i] = b
+    lens = np.array([len(b) for b in parts], np.int64)
+    sent = encoded.sparkSession.sparkContext.broadcast((lens, np.frombuffer(b"".join(parts), np.uint8)))
+    src = encoded.select(F.col(key).alias("key"), F.col("ids").cast("array<int>").alias("ids"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lens, values = sent.value
+        first = np.concatenate(([0], np.cumsum(lens)))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                lists = part.column(1)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                known = (ids >= 0) & (ids < len(lens))
+                width = np.where(known, lens[np.where(known, ids, 0)] if len(lens) else 0, 0)
+                end = np.cumsum(width)
+                at = np.repeat(first[np.where(known, ids, 0)] - end + width, width) + np.arange(end[-1] if len(end) else 0)
+                data = values[at].tobytes() if len(at) else b""
+                ends = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(n)))]
+                texts = [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+
+    return src.mapInArrow(join, f"key {src.schema['key'].dataType.simpleString()}, text string").withColumnRenamed("key", key)
