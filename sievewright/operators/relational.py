@@ -72,10 +72,9 @@ def valid_prefix(df: DataFrame, valid: Column, order: str, start: int = 1) -> Da
 
     The first invalid position is one aggregate, so nothing is sorted into one task.
     """
-    bad = df.filter(~F.coalesce(valid, F.lit(False))).agg(F.min(order).alias("__stop"))
-    kept = df.crossJoin(F.broadcast(bad)).filter(F.col("__stop").isNull() | (F.col(order) < F.col("__stop")))  # bad is one row
-    n = kept.agg(F.count(F.lit(1)).alias("__n"))
-    return kept.drop("__stop").crossJoin(F.broadcast(n)).withColumn("next_start", F.lit(start) + F.col("__n")).drop("__n")
+    stop = df.filter(~F.coalesce(valid, F.lit(False))).agg(F.min(order)).scalar()
+    kept = df.filter(stop.isNull() | (F.col(order) < stop))
+    return kept.withColumn("next_start", F.lit(start) + kept.agg(F.count(F.lit(1))).scalar())
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
@@ -162,9 +161,9 @@ def castable(df: DataFrame, columns: list[str], kind: str = "double") -> DataFra
 
 def run_summary(df: DataFrame, ok: Column, amount: str, key: str, most_failures: int = 1000) -> DataFrame:
     """One row: rows, good rows, the sum of an amount, and the least keys of failed rows, at most `most_failures` of them."""
-    failed = df.filter(~F.coalesce(ok, F.lit(False))).select(key).orderBy(key).limit(most_failures).agg(F.sort_array(F.collect_list(key)).alias("failures"))
+    failed = df.filter(~F.coalesce(ok, F.lit(False))).select(key).orderBy(key).limit(most_failures).agg(F.sort_array(F.collect_list(key)))
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_ok"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
-    return counts.crossJoin(failed)  # one row each
+    return counts.withColumn("failures", failed.scalar())
 
 
 def positional_slices(items: Column, lengths: list[Column]) -> list[Column]:

@@ -68,14 +68,13 @@ def cross_validated_threshold(df: DataFrame, fold: str, label: str, score: str,
 
     Null where a fold finds no threshold or there are fewer rows than folds; a fold that selects nothing counts 0.0.
     """
-    ids = df.sparkSession.range(folds).select(F.col("id").cast("int").alias("held"))
-    rest = ids.join(df, F.col("held") != F.col(fold))  # folds are few, a fixed number of copies of each row
+    rest = df.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col(fold))))
     per = precision_threshold(rest, ["held"], label, score, target, least).select("held", "threshold")
     check = df.join(F.broadcast(per), F.col("held") == F.col(fold)).groupBy("held", "threshold").agg(
         F.count_if(F.col(score) >= F.col("threshold")).alias("n"), F.count_if((F.col(score) >= F.col("threshold")) & F.col(label)).alias("c")
     )
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    out = check.agg(F.count(F.lit(1)).alias("found"), F.avg("threshold").alias("t"), F.avg(F.coalesce(F.col("c") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))).alias("p")).crossJoin(F.broadcast(total))
+    out = check.agg(F.count(F.lit(1)).alias("found"), F.avg("threshold").alias("t"), F.avg(F.coalesce(F.col("c") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))).alias("p"))
+    out = out.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
     ok = (F.col("found") == folds) & (F.col("rows") >= folds)
     return out.select(F.col("found").alias("n_folds"), F.when(ok, F.col("t")).alias("threshold"), F.when(ok, F.col("p")).alias("precision"))
 
@@ -103,8 +102,7 @@ def ranked(df: DataFrame, metric: str, order: str, name: str = "place") -> DataF
 def histogram(df: DataFrame, value: str, bins: int = 200) -> DataFrame:
     """Counts in equal bins over the data's range; the last bin is closed at its right. Empty bins have no row."""
     v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    x = v.crossJoin(F.broadcast(ends)).withColumn("width", (F.col("hi") - F.col("lo")) / bins)  # ends is one row
+    x = v.withColumn("lo", v.agg(F.min("v")).scalar()).withColumn("hi", v.agg(F.max("v")).scalar()).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     b = F.when(F.col("width") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
     return x.groupBy(b.cast("int").alias("bin"), F.col("lo"), F.col("width")).agg(F.count(F.lit(1)).alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), "n")
 

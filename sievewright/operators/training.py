@@ -116,9 +116,9 @@ def exact_split(df: DataFrame, key: str, ratio: float = 0.85) -> DataFrame:
     from sievewright.operators.relational import row_numbers
 
     hashed = df.withColumn("__hash", F.xxhash64(key))
-    n = df.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("__most"))  # one row
-    numbered = row_numbers(hashed, ["__hash", key], "__place").crossJoin(F.broadcast(n))
-    return numbered.withColumn("part", F.when(F.col("__place") <= F.col("__most"), "train").otherwise("held_out")).drop("__hash", "__place", "__most")
+    most = df.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio))).scalar()
+    numbered = row_numbers(hashed, ["__hash", key], "__place")
+    return numbered.withColumn("part", F.when(F.col("__place") <= most, "train").otherwise("held_out")).drop("__hash", "__place")
 
 
 def tokenized(input_: str, output: str, most: int, encode: Callable[[str], list[int]]) -> Column:

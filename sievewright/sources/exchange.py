@@ -19,9 +19,9 @@ def batches(requests: DataFrame, most_rows: int = 5000, most_bytes: int = 1_000_
 
     Rows are hashed into as many batches as the larger of both needs asks for, with a tenth to spare; counts are one aggregate.
     """
-    size = requests.agg(F.count(F.lit(1)).alias("__n"), F.sum(F.octet_length("line")).alias("__b"))
-    need = F.greatest(F.ceil(F.col("__n") * 1.1 / most_rows), F.ceil(F.coalesce("__b", F.lit(0)) * 1.1 / most_bytes), F.lit(1))
-    return requests.crossJoin(F.broadcast(size)).withColumn("batch", F.pmod(F.xxhash64("custom_id"), need)).drop("__n", "__b")  # size is one row
+    rows, size = F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("line")), F.lit(0))
+    need = requests.agg(F.greatest(F.ceil(rows * 1.1 / most_rows), F.ceil(size * 1.1 / most_bytes), F.lit(1))).scalar()
+    return requests.withColumn("batch", F.pmod(F.xxhash64("custom_id"), need))
 
 
 def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:

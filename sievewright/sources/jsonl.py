@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (1-based within each file) and value of every line, in the files' order.
 
-    Numbers come from the place of each line in its file's blocks, so files stay splittable; they are dense for one-block files.
+    Lines are numbered within their block of a file, which one task reads, and the counts of the blocks before are added.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    from pyspark.sql import Window as W
-
-    return raw.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("block", "id"))).select("file", "line_no", "value")
+    local = raw.withColumn("n", F.row_number().over(W.partitionBy("file", "block").orderBy("id")))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return local.join(sizes.select("file", "block", "before"), ["file", "block"]).select("file", (F.col("n") + F.col("before")).alias("line_no"), "value")
 
 
 def tolerant(spark: SparkSession, path: str, schema: T.StructType | str, objects_only: bool = True, missing_ok: bool = False) -> DataFrame:
