@@ -7,7 +7,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import col, full_trim
@@ -152,17 +151,19 @@ def diff_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, block_no, path, kind and text of every line: the table form of a diff.
 
     kind: header, hunk, old, new or context. block_no counts `diff ` lines (0 before the first), path is the last old-file
-    header so far within the block; a diff's lines stay together, diffs are independent of each other.
+    header so far within the block. Numbers and paths are found within each row, so lines are never shuffled.
     """
-    e = df.select(F.col(key).alias("key"), F.posexplode(lines(text)).alias("line_no", "text"))
-    in_order = W.partitionBy("key").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumn("block_no", F.sum(F.startswith("text", F.lit("diff ")).cast("int")).over(in_order).cast("long"))
-    within = W.partitionBy("key", "block_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    old = F.when(F.startswith("text", F.lit("--- a/")), F.substring("text", 7, 100_000))
+    rows = df.select(F.col(key).alias("key"), lines(text).alias("__l")).filter(F.size("__l") > 0)
+    parts = rows.select("key", F.transform(F.split(joined(F.col("__l")), "\n(?=diff )"), lambda p: F.split(p, "\n")).alias("__b"))
+    b = parts.select("key", "__b", F.startswith(F.col("__b")[0][0], F.lit("diff ")).cast("int").alias("__1"), F.posexplode("__b").alias("__p", "__x"))
+    before = F.aggregate(F.slice("__b", F.lit(1), F.col("__p")), F.lit(0), lambda n, x: n + F.size(x))
+    heads = F.filter(F.transform("__x", lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), x)), lambda h: F.startswith(h["x"], F.lit("--- a/")))
+    b = b.select("key", (F.col("__p") + F.col("__1")).cast("long").alias("block_no"), before.alias("__n"), heads.alias("__h"), F.posexplode("__x").alias("__i", "text"))
+    head = F.try_element_at(F.filter("__h", lambda h: h["i"] <= F.col("__i")), F.lit(-1))["x"]
     kind = (
         F.when(_starts(F.col("text"), "diff ", "index ", "--- ", "+++ "), "header").when(_starts(F.col("text"), "@@"), "hunk").when(_starts(F.col("text"), "-"), "old").when(_starts(F.col("text"), "+"), "new").otherwise("context")
     )
-    return e.withColumn("path", F.last(old, ignorenulls=True).over(within)).withColumn("kind", kind)
+    return b.select("key", (F.col("__n") + F.col("__i")).alias("line_no"), "block_no", F.substring(head, F.lit(7), F.length(head)).alias("path"), kind.alias("kind"), "text")
 
 
 def patch_segments(c: str | Column) -> Column:
