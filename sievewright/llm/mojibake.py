@@ -27,10 +27,12 @@ LEGACY = (
 )
 LOST = "�"
 FOREIGN = re.compile(r"[^\x00-\x7f]")
-FOREIGN_WORD = re.compile(r"[A-Za-z]*[^\W\d_A-Za-z⺀-\U0003ffff][^\W\d_⺀-\U0003ffff]*")
+# Patterns start at the beginning of a run only and give nothing back, so that very long runs cost no more than their length.
+FOREIGN_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*+[^\W\d_A-Za-z⺀-\U0003ffff][^\W\d_⺀-\U0003ffff]*")
 LETTERS = re.compile(r"[^\W\d_]+")
-WIDE_RUN = re.compile(r"[⺀-�-Ͱ-ӿ‐-⁀℀-➿\xa0-\xff]*[⺀-퟿-][⺀-�Ͱ-ӿ‐-⁀℀-➿\xa0-\xff]*")
-LOST_WORD = re.compile(r"[^\W\d_]*�[^\W\d_�]*(?:�[^\W\d_�]*)*")
+WIDE = re.compile("[⺀-\ud7ff\ue000-\uf8ff]")
+WIDE_RUN = re.compile("[⺀-\uffff\u0370-\u04ff\u2010-\u2040\u2100-\u27bf\xa0-\xff]+")
+LOST_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]*+�[^\W\d_�]*(?:�[^\W\d_�]*)*")
 
 
 def read_byte(b: int, encoding: str) -> str:
@@ -188,8 +190,10 @@ class Channel:
     def undo_wide(self, text: str) -> tuple[str, int]:
         """Runs of Chinese characters that are UTF-8 read as GBK, undone; and how many characters that explains."""
         out, at, n = [], 0, 0
-        for m in WIDE_RUN.finditer(text):
+        for m in WIDE_RUN.finditer(text) if WIDE.search(text) else ():
             run, i = m[0], 0
+            if not WIDE.search(run):
+                continue
             while i < len(run):
                 got = self.wide_prefix(run, i)
                 if got:
