@@ -17,13 +17,17 @@ SHINGLE = 5
 
 
 def window_prints(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The SimHash of every `window` consecutive elements of a flat array of word hashes, as uint64."""
+    """The SimHash of every `window` consecutive elements of a flat array of word hashes, as uint64.
+
+    Running sums are kept modulo 256 (or 65,536): a window's sum is at most `window`, so their difference is exact all the same.
+    """
     if len(hashes) < window:
         return np.zeros(0, np.uint64)
     own, codes = np.unique(hashes, return_inverse=True)
     signs = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
-    run = np.zeros((len(hashes) + 1, BITS), np.int32)
-    np.cumsum(signs[codes], axis=0, dtype=np.int32, out=run[1:])
+    kind = np.int8 if window < 128 else np.int16
+    run = np.zeros((len(hashes) + 1, BITS), kind)
+    np.cumsum(signs[codes], axis=0, dtype=kind, out=run[1:])
     return np.packbits((run[window:] - run[:-window]) > 0, axis=1).view(np.uint64).ravel()
 
 
