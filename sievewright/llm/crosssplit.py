@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.nearsets import bands_of, class_rows, verified
+from sievewright.llm.nearsets import class_rows, signatures, verified
 from sievewright.session import materialize
 
 
@@ -33,7 +33,8 @@ def cross_split_overlaps(
     first = classed.groupBy("class_a", "class_b").agg(F.min("key").alias("class"), (F.max("side") == 0).alias("only_train"), (F.min("side") == 1).alias("only_eval"))
     members = materialize(classed.join(first.select("class_a", "class_b", "class"), ["class_a", "class_b"]).select("key", "side", "class"), "members")
     chosen = rows.select("key", "text").join(first.select(F.col("class").alias("key"), "only_train", "only_eval"), "key")
-    bands = materialize(bands_of(chosen, "key", "text", ["only_train", "only_eval"]), "bands")
+    signed = materialize(signatures(chosen, "key", "text", ["only_train", "only_eval"]), "signatures")
+    bands = signed.select("key", "only_train", "only_eval", F.explode("bands").alias("band"))
     t = bands.filter(~F.col("only_eval")).select("band", F.col("key").alias("a"))
     e = bands.filter(~F.col("only_train")).select("band", F.col("key").alias("b"))
     pairs = materialize(t.join(e, "band").filter("a != b").select("a", "b").distinct(), "pairs")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.nearsets import bands_of, class_rows, components, trie_candidates, verified
+from sievewright.llm.nearsets import class_rows, components, signatures, trie_candidates, verified
 from sievewright.session import materialize
 
 
@@ -48,6 +48,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.75
     members = rows.join(first, ["class_a", "class_b"]).select("key", "n_words", "representative")
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     chosen = texts.join(first, F.col("key") == F.col("representative"), "left_semi")
-    bands = materialize(bands_of(chosen, "key", "text"), "bands")
-    pairs = materialize(trie_candidates(bands, budget), "pairs")
+    signed = materialize(signatures(chosen, "key", "text"), "signatures")
+    pairs = materialize(trie_candidates(signed, budget), "pairs")
     return NearDuplicates(members, materialize(verified(pairs, texts, "key", "text", similarity), "links"))

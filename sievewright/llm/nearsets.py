@@ -46,8 +46,8 @@ def class_rows(df: DataFrame, key: str, text: str, min_words: int, carry: list[s
     return src.mapInArrow(run, schema)
 
 
-def bands_of(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """A row for each band of each text: band (hash of its minwise values and its number), key, print_hi, print_lo."""
+def signatures(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """A row for each text: key, its fingerprint (print_hi, print_lo), and bands, a hash of each band's minwise values and number."""
     src = df.select(F.col(key).alias("key"), *carry, words_of(text).alias("words"))
     kinds = src.schema.fields[:-1]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "print_hi long, print_lo long, bands array<long>"
@@ -79,7 +79,7 @@ def bands_of(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataF
                     names=[*(k.name for k in kinds), "print_hi", "print_lo", "bands"],
                 )
 
-    return src.mapInArrow(run, schema).withColumn("band", F.explode("bands")).drop("bands")
+    return src.mapInArrow(run, schema)
 
 
 def elements_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -164,20 +164,21 @@ def forest_join(group: np.ndarray, side: np.ndarray, hi: np.ndarray, lo: np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def trie_candidates(bands: DataFrame, budget: int, most: int = 2048) -> DataFrame:
+def trie_candidates(signed: DataFrame, budget: int, most: int = 2048) -> DataFrame:
     """Distinct pairs (a < b) of keys that share a band and whose fingerprints differ in at most `budget` bits.
 
-    Bands with one row are dropped. A band of more than `most` rows is cut into chunks and every two chunks meet in a cell of
+    Only bands and keys are shuffled to find the bands with more than one row; fingerprints join what is left. A band of more than `most` rows is cut into chunks and every two chunks meet in a cell of
     their own, so that no task holds more than two chunks of a band, however many rows share it; no pair is lost.
     """
+    bands = signed.select("key", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = bands.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / most))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cells = rows.select(
         F.when(F.col("chunks") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("cell"),
         (F.col("chunk") > F.col("other")).cast("int").alias("side"),
-        "key", "print_hi", "print_lo",
-    )
+        "key",
+    ).join(signed.select("key", "print_hi", "print_lo"), "key")
     kind = cells.schema["key"].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,7 +220,7 @@ def test_hot_band_is_cut_into_cells_without_loss(spark):
         hi, lo = base ^ (np.int64(1) << r.integers(0, 62, 2)) if i % 3 else r.integers(0, 1 << 62, 2)
         rows.append((7, i, int(hi), int(lo)))
     rows += [(8, 500, 1, 1), (9, 501, 1, 1), (9, 502, 1, 3)]
-    df = spark.createDataFrame(rows, "band long, key long, print_hi long, print_lo long")
+    df = spark.createDataFrame([([b], k, hi, lo) for b, k, hi, lo in rows], "bands array<long>, key long, print_hi long, print_lo long")
     want = {
         (min(a[1], b[1]), max(a[1], b[1]))
         for i, a in enumerate(rows)
