@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,11 +74,28 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray, weights: dict[int, float], rest: float) -> float:
-    """Weighted Jaccard similarity of two sets of shingles; `rest` is the weight of a shingle that no item has."""
-    x, y = {*a.tolist()}, {*b.tolist()}
-    both = math.fsum(weights.get(s, rest) for s in x & y)
-    return both / math.fsum(weights.get(s, rest) for s in x | y)
+def weighted_similarities(a: np.ndarray, b: np.ndarray, known: np.ndarray, weights: np.ndarray, rest: float = 1.0) -> np.ndarray:
+    """Weighted Jaccard similarity of each row of `a` with that row of `b`, as sets of shingles.
+
+    `known` are the items' shingles, sorted, and `weights` theirs; any other shingle weighs `rest`.
+    """
+
+    def weight(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return np.where(known[at] == x, weights[at], rest)
+
+    def first(x: np.ndarray) -> np.ndarray:
+        same = x[:, :, None] == x[:, None, :]
+        return ~np.tril(same, -1).any(axis=2)
+
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), 10_000):
+        x, y = a[lo : lo + 10_000], b[lo : lo + 10_000]
+        shared = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        wx, wy = weight(x) * first(x), weight(y) * first(y)
+        both = (wx * shared).sum(axis=1)
+        out[lo : lo + 10_000] = both / np.maximum(wx.sum(axis=1) + wy.sum(axis=1) - both, 1e-12)
+    return out
 
 
 def find_leaks(
@@ -113,13 +129,13 @@ def find_leaks(
             owner = np.repeat(np.arange(len(words)), n)
             valid = np.flatnonzero(owner[: len(flat) - window + 1] == owner[window - 1 :])
             prints = window_prints(flat, window)[valid]
-            df: dict[int, int] = {}
-            for w in words:
-                for s in {*shingles(w).tolist()}:
-                    df[s] = df.get(s, 0) + 1
-            weights = {s: 1 / c for s, c in df.items()}
+            marks = shingles(flat)
+            within = owner[: len(marks)] == owner[SHINGLE - 1 :]
+            once = np.unique(np.stack((owner[: len(marks)][within].astype(np.uint64), marks[within]), axis=1), axis=0)[:, 1]
+            known, n_items = np.unique(once, return_counts=True)
+            weights = 1.0 / n_items
             index = HammingIndex(prints, radius)
-            seq = np.arange(window)
+            seq, parts = np.arange(window), np.arange(window - SHINGLE + 1)
             for b in batches:
                 for lo in range(0, b.num_rows, 500):
                     part = b.slice(lo, 500)
@@ -129,17 +145,17 @@ def find_leaks(
                     q, k = index.near(window_prints(h, window)[at])
                     if not len(q):
                         continue
-                    same = np.array([], bool)
-                    if len(q):
-                        same = np.concatenate([(h[at[q[s : s + 50_000], None] + seq] == flat[valid[k[s : s + 50_000], None] + seq]).all(axis=1) for s in range(0, len(q), 50_000)])
+                    left, right = at[q], valid[k]
+                    same = np.concatenate([(h[left[s : s + 50_000, None] + seq] == flat[right[s : s + 50_000, None] + seq]).all(axis=1) for s in range(0, len(q), 50_000)])
+                    sims = np.ones(len(q))
+                    own = shingles(h)
+                    sims[~same] = weighted_similarities(own[left[~same, None] + parts], marks[right[~same, None] + parts], known, weights)
                     got: dict[tuple[int, int], list] = {}
-                    for i, j, eq in zip(at[q].tolist(), valid[k].tolist(), same.tolist(), strict=True):
-                        pair = (int(f.doc[i]), int(owner[j]))
-                        sim = 1.0 if eq else weighted_similarity(shingles(h[i : i + window]), shingles(flat[j : j + window]), weights, 1.0)
-                        if sim >= similarity:
-                            x = got.setdefault(pair, [0.0, False, set()])
-                            x[0], x[1] = max(x[0], sim), x[1] or eq
-                            x[2].add(i)
+                    ok = sims >= similarity
+                    for i, j, eq, sim in zip(left[ok].tolist(), right[ok].tolist(), same[ok].tolist(), sims[ok].tolist(), strict=True):
+                        x = got.setdefault((int(f.doc[i]), int(owner[j])), [0.0, False, set()])
+                        x[0], x[1] = max(x[0], sim), x[1] or eq
+                        x[2].add(i)
                     if got:
                         rows = [*got]
                         yield pa.RecordBatch.from_arrays(
