@@ -43,6 +43,28 @@ def softmax_methods(spark, sf):
     return rounded(out, "method_a", "beta", "method_b_0_5", "method_b_1_0", "method_b_2_0")
 
 
+def all_queries_and_chunks(spark, sf):
+    """Records out of all vectors: a label's vectors by vec_id in blocks of six, the first as the query, the rest as its chunks.
+
+    Every vector is in one record; a label's last block may be short, down to a query without chunks. The lists are bounded by
+    six. Numbering sorts each label in one task.
+    """
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    k = e.withColumn("block", F.floor((F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1) / 6))
+    g = k.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "e"))).alias("a"))
+    return g.select("label", "block", F.col("a")[0]["e"].alias("q"), F.transform(F.slice("a", 2, 5), lambda x: x["e"]).alias("chunks"))
+
+
+def softmax_methods_all(spark, sf):
+    """softmax_methods over all vectors instead of the first six of each label; block 0 of a label is what softmax_methods has."""
+    g = all_queries_and_chunks(spark, sf).withColumn("sims", F.transform("chunks", lambda c: v.cosine(F.col("q"), c)))
+    w = [(b, v.cosine(F.col("q"), v.weighted_sum(F.col("chunks"), v.softmax(F.col("sims"), b), 64))) for b in (0.5, 1.0, 2.0)]
+    out = g.select("label", "block", F.size("chunks").cast("long").alias("n_chunks"), v.pooled_similarity(F.col("sims")).alias("method_a"), v.adaptive_beta(F.col("sims")).alias("beta"), *[c.alias(f"method_b_{str(b).replace('.', '_')}") for b, c in w])
+    return rounded(out, "method_a", "beta", "method_b_0_5", "method_b_1_0", "method_b_2_0")
+
+
 # statistics ------------------------------------------------------------------------------------------------------------------------
 def judged(spark, sf):
     return table(spark, sf, "scored").filter("gemini_judgement IS NOT NULL AND score1 IS NOT NULL AND score2 IS NOT NULL").select("row_id", F.col("gemini_judgement").alias("label"), "score1", "score2")
@@ -180,7 +202,7 @@ def evidence_overlap(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_pairs, softmax_methods, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
+        cosine_pairs, softmax_methods, softmax_methods_all, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
         token_budget, train_rows_abc, preference_loss, split_shares, jaccard_family, bleu_pairs, evidence_overlap,
     )
 }
@@ -218,6 +240,11 @@ SQL = {
     "softmax_methods": f"""WITH {_Q}, g AS (SELECT label, list(e ORDER BY vec_id) AS chunks FROM six WHERE k BETWEEN 2 AND 6 GROUP BY label), h AS (SELECT label, q, chunks, [list_cosine_similarity(q, c) for c in chunks] AS sims FROM g JOIN q USING (label))
         SELECT label, round(list_sum([exp(x - list_max(sims)) * x for x in sims]) / list_sum([exp(x - list_max(sims)) for x in sims]), 6) AS method_a, round(least(1.0, greatest(0.5, 1 - 0.5 * (list_max(sims) - list_min(sims)))), 6)::DOUBLE AS beta,
         {_b(0.5)} AS method_b_0_5, {_b(1.0)} AS method_b_1_0, {_b(2.0)} AS method_b_2_0 FROM h""",
+    "softmax_methods_all": f"""WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), q AS (SELECT label, k // 6 AS block, e AS q FROM n WHERE k % 6 = 0),
+        g AS (SELECT label, k // 6 AS block, list(e ORDER BY vec_id) AS chunks FROM n WHERE k % 6 > 0 GROUP BY ALL), h AS (SELECT label, block, q, chunks, [list_cosine_similarity(q, c) for c in chunks] AS sims FROM q LEFT JOIN g USING (label, block))
+        SELECT label, block, coalesce(len(chunks), 0)::BIGINT AS n_chunks, coalesce(round(list_sum([exp(x - list_max(sims)) * x for x in sims]) / list_sum([exp(x - list_max(sims)) for x in sims]), 6), 0) AS method_a,
+        CASE WHEN chunks IS NULL THEN 1.0 ELSE round(least(1.0, greatest(0.5, 1 - 0.5 * (list_max(sims) - list_min(sims)))), 6) END::DOUBLE AS beta,
+        {", ".join(f"CASE WHEN chunks IS NULL THEN 0.0::DOUBLE ELSE {_b(b)} END AS method_b_{str(b).replace('.', '_')}" for b in (0.5, 1.0, 2.0))} FROM h""",
     "group_means": """WITH s AS (SELECT *, coalesce(new_score1_b_by_beta['1.0'], new_score1_b_by_beta['1']) AS b, CASE WHEN gemini_judgement THEN 'true' ELSE 'false' END AS g FROM scored)
         SELECT coalesce(g, 'all') AS "group", count(*) AS n, round(coalesce(avg(score1), 0), 6) AS mean_score1, round(coalesce(avg(score2), 0), 6) AS mean_score2, count(*) FILTER (b > score1) AS n_improved, round(count(*) FILTER (b > score1) / greatest(count(*), 1), 6) AS rate_improved FROM s GROUP BY ROLLUP (g)""",
     "roc_auc": f"""WITH {_C} SELECT p.config, (SELECT count(*) FROM j WHERE label) AS n_positive, (SELECT count(*) FROM j WHERE NOT label) AS n_negative, round(avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc
