@@ -19,12 +19,12 @@ INPUT = len(INDEX) + WORDS
 
 
 def vectors(lines: list[str], tag_paths: list[set[str]]) -> np.ndarray:
-    """One row for each line: its tag path, and its hashed words as a bag of signs."""
+    """One row for each line: its tag path, and all of its hashed words as a bag of signs."""
     x = np.zeros((len(lines), INPUT), np.float32)
     for i, (line, path) in enumerate(zip(lines, tag_paths, strict=True)):
         for p in path:
             x[i, INDEX[p]] = 1
-        words = re.findall(r"\w+", line.lower())[:40]
+        words = re.findall(r"\w+", line.lower())
         for w in words:
             h = zlib.crc32(w.encode())
             x[i, len(INDEX) + h % WORDS] += (1 if h & 0x8000 else -1) / (2 + len(words)) ** 0.5
