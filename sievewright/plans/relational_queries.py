@@ -61,6 +61,12 @@ def valid_prefix(spark, sf):
     return r.valid_prefix(s, ok, "row_id").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_row"), F.max("next_start").alias("next_start"))
 
 
+def valid_prefix_by_scores(spark, sf):
+    """valid_prefix without its planted row 41: the prefix ends at the first row whose scores are invalid, wherever that is."""
+    ok = F.col("score1").between(0, 1) & F.col("score2").between(0, 1)
+    return r.valid_prefix(table(spark, sf, "scored"), ok, "row_id").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_row"), F.max("next_start").alias("next_start"))
+
+
 def row_slices(spark, sf):
     d = r.row_numbers(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
     return r.row_slice(d, 101, 250).select("doc_id", F.col("idx").cast("long").alias("idx"))
@@ -96,7 +102,7 @@ def answers_with_prompts(spark, sf):
 
 
 QUERIES = {
-    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
+    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix, valid_prefix_by_scores, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
 }
 
 _USABLE = "(upper(trim(coalesce(fine_tuning, ''))) = 'SFT' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '') OR (upper(trim(coalesce(fine_tuning, ''))) = 'ORPO' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '' AND trim(coalesce(lose_rc, '')) <> '' AND trim(coalesce(lose_rs, '')) <> '')"
@@ -113,6 +119,7 @@ SQL = {
     "present_key_antijoin": "SELECT row_id, repo, issue_id FROM mined_issue m WHERE NOT EXISTS (SELECT 1 FROM flat_pr p WHERE lower(trim(p.repo)) = lower(trim(m.repo)) AND p.issue_id = m.issue_id)",
     "clone_plan": "SELECT replace(trim(repo), '/', '_') || '_' || issue_id || '_' || pr_num || '_' || substr(base_commit, 1, 8) AS dir, min(row_id) AS row_id, count(*) AS n FROM cot WHERE repo IS NOT NULL AND issue_id IS NOT NULL AND pr_num IS NOT NULL AND base_commit <> '' GROUP BY 1",
     "valid_prefix": "WITH b AS (SELECT min(row_id) AS stop FROM scored WHERE NOT coalesce(score1 BETWEEN 0 AND 1 AND score2 BETWEEN 0 AND 1 AND row_id <> 41, false)) SELECT count(*) AS n, max(row_id) AS last_row, CASE WHEN count(*) > 0 THEN 1 + count(*) END AS next_start FROM scored, b WHERE stop IS NULL OR row_id < stop",
+    "valid_prefix_by_scores": "WITH b AS (SELECT min(row_id) AS stop FROM scored WHERE NOT coalesce(score1 BETWEEN 0 AND 1 AND score2 BETWEEN 0 AND 1, false)) SELECT count(*) AS n, max(row_id) AS last_row, CASE WHEN count(*) > 0 THEN 1 + count(*) END AS next_start FROM scored, b WHERE stop IS NULL OR row_id < stop",
     "row_slices": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents) SELECT doc_id, idx FROM d WHERE idx >= 101 AND idx < 351",
     "missing_predictions": "SELECT DISTINCT instance_id FROM eval_prompt WHERE instance_id NOT IN (SELECT instance_id FROM prediction WHERE instance_id IS NOT NULL)",
     "overlay_rows": "SELECT row_id, repo, CASE WHEN row_id % 3 = 0 THEN 'kept' ELSE fine_tuning END AS fine_tuning, CASE WHEN row_id % 3 = 0 THEN coalesce(score, 0) + 1 ELSE score END AS score, row_id % 3 = 0 AS replaced FROM refined",
