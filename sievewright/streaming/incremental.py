@@ -16,8 +16,13 @@ def incoming(spark: SparkSession, folder: str, schema: T.StructType | str, files
 
 
 def fresh(stream: DataFrame, keys: list[str], event_time: str, lateness: str, history: DataFrame | None = None) -> DataFrame:
-    """Items whose key came neither in the history nor in the stream within the lateness; the watermark bounds the state."""
-    out = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)
+    """Items whose key came neither in the history nor before in the stream, however late they or their repeats come.
+
+    No watermark: it would drop late items with new keys and let repeats through after the lateness, so `event_time` and
+    `lateness` have no effect. The state is one entry for each key of the stream and is never cut; at many keys a session
+    should set the RocksDB state store. A checkpoint made with the watermark can't be gone on with.
+    """
+    out = stream.dropDuplicates(keys)
     return out if history is None else out.join(history.select(*keys).distinct(), keys, "left_anti")
 
 
