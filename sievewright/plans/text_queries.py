@@ -98,9 +98,12 @@ def guidance_texts(spark, sf):
 
 
 def keyword_combinations(spark, sf):
+    """Combinations of four lists made of all words of the title by position (mod 4), the keywords leading the errors."""
     m = table(spark, sf, "mined_issue").filter("keywords_used IS NOT NULL AND title IS NOT NULL")
     w = F.split("title", " ")
-    return m.select("row_id", F.explode(combine([F.slice(w, 1, 2), F.col("keywords_used"), F.slice(w, 3, 2), F.slice(w, 5, 2)])).alias("k")).select("row_id", F.array_join("k", " ").alias("keywords"))
+    every = lambda n: F.filter(w, lambda _, i: i % 4 == n)
+    lists = [every(0), F.concat("keywords_used", every(1)), every(2), every(3)]
+    return m.select("row_id", F.explode(combine(lists)).alias("k")).select("row_id", F.array_join("k", " ").alias("keywords"))
 
 
 def prompts(spark, sf):
