@@ -10,7 +10,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,24 @@ def bleu(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([bleu_of(*bleu_counts(c, r)) if c and r and c.strip() and r.strip() else 0.0 for c, r in zip(candidate, reference, strict=True)])
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("matches", "totals")] + [T.StructField(n, T.LongType()) for n in ("c", "r")]))
+def _bleu_parts(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([bleu_counts(c or "", r or "") for c, r in zip(candidate, reference, strict=True)], columns=["matches", "totals", "c", "r"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _bleu_score(matches: pd.Series, totals: pd.Series, c: pd.Series, r: pd.Series) -> pd.Series:
+    return pd.Series([bleu_of([int(x) for x in m], [int(x) for x in t], int(a), int(b)) for m, t, a, b in zip(matches, totals, c, r, strict=True)], dtype=float)
+
+
+def corpus_bleu(df: DataFrame, groups: list[str], candidate: str, reference: str, most: int = 4) -> DataFrame:
+    """The groups with bleu: BLEU-4 of all their pairs as one corpus, by counts summed over rows; a null text is an empty one."""
+    parts = df.select(*groups, _bleu_parts(candidate, reference).alias("p"))
+    sums = [F.sum(F.col("p")[k][i]).alias(f"{k}{i}") for k in ("matches", "totals") for i in range(most)]
+    g = parts.groupBy(*groups).agg(*sums, F.sum("p.c").alias("c"), F.sum("p.r").alias("r")).filter("c IS NOT NULL")
+    return g.select(*groups, _bleu_score(*[F.array(*[f"{k}{i}" for i in range(most)]) for k in ("matches", "totals")], "c", "r").alias("bleu"))
+
+
 def greedy_match_f1(a: Column, b: Column) -> Column:
     """struct(p, r, f1) of greedy matching between two arrays of token vectors by their best cosine."""
     from sievewright.functions.vectors import cosine

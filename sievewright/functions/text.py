@@ -266,6 +266,34 @@ def analysis_prompt(issue: Column, slice_: Column) -> Column:
     return F.concat(F.lit("[ISSUE]\n"), F.coalesce(issue, F.lit("")), F.lit("\n\n[SLICE]\n"), F.coalesce(slice_, F.lit("")), F.lit("\n\n[TASK]\nName the root cause and suggest a repair.\n"))
 
 
+def _fields(ends: str, *named: tuple[str, Column]) -> Column:
+    """Titled fields one after another, nulls as empty texts, each with the given end."""
+    return F.concat(*[x for title, c in named for x in (F.lit(f"{title}:\n"), F.coalesce(c, F.lit("")), F.lit(ends))])
+
+
+def reasoning_prompt(issue: Column, segments: Column) -> Column:
+    """What the first analysis is asked with: the issue and its segments."""
+    return F.concat(_fields("\n\n", ("Issue", issue)), F.lit("Segments:\n"), formatted_segments(segments))
+
+
+def judge_prompt(issue: Column, cause: Column, removed: Column, added: Column) -> Column:
+    """What a judge of a root cause is given: the issue, the cause, and both sides of the diff."""
+    return F.concat(_fields("\n\n", ("Issue", issue), ("Root cause", cause), ("Removed", removed)), _fields("\n", ("Added", added)))
+
+
+def refine_prompt(issue: Column, removed: Column, added: Column, cause: Column, reasoning: Column, repair: Column) -> Column:
+    """What a rejected answer is refined with: the issue, both sides of the diff, the answer, and the judge's reasoning."""
+    return _fields("\n", ("Issue", issue), ("Removed", removed), ("Added", added), ("Root cause", cause), ("Reasoning", reasoning), ("Repair suggestion", repair))
+
+
+def guidance_prompt(issue: Column, code: Column) -> Column:
+    """What guidance is asked with; parts end in the two characters backslash and n. An error text if issue or code is blank."""
+    end = F.lit("\\n")
+    parts = (F.lit("Given an issue and groups of suspicious and supplementary code, name the root cause and suggest a repair."), F.lit("# Issue:"), issue, F.lit("# Segments:"), code)
+    ok = present(issue).isNotNull() & present(code).isNotNull()
+    return F.when(ok, F.concat(*[x for p in parts for x in (p, end)])).otherwise("the prompt can't be built")
+
+
 def chat_request(key: Column, number: Column, model: str, system: str, user: Column, temperature: float = 0.2, top_p: float = 0.9, max_tokens: int = 1024) -> Column:
     """One line of a batch of chat requests, as a struct; `number` names requests without a key."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,6 +107,25 @@ def histogram(df: DataFrame, value: str, bins: int = 200) -> DataFrame:
     return x.groupBy(b.cast("int").alias("bin"), F.col("lo"), F.col("width")).agg(F.count(F.lit(1)).alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), "n")
 
 
+def limited_histogram(df: DataFrame, value: str, limit: float, of: str | None = None, edges: int = 100) -> DataFrame:
+    """Counts between equally spaced edges from 0 to 1.5 times a limit, or to the 99th percentile of `of` if that is more.
+
+    `of` is the value itself by default. The last bin is closed at its right; values outside the edges aren't counted, and empty
+    bins have no row.
+    """
+    top = df.agg(F.greatest(F.lit(1.5 * limit), F.percentile(F.col(of or value).cast("double"), 0.99)).alias("top")).scalar()
+    v = df.select(F.col(value).cast("double").alias("v")).withColumn("top", top).filter("v >= 0 AND v <= top").withColumn("step", F.col("top") / (edges - 1))
+    k = F.floor(F.col("v") / F.col("step"))
+    b = F.least(k + F.when(F.col("v") < k * F.col("step"), -1).when(F.col("v") >= (k + 1) * F.col("step"), 1).otherwise(0), F.lit(edges - 2))
+    return v.groupBy(b.cast("int").alias("bin"), "step").agg(F.count(F.lit(1)).alias("n")).select("bin", (F.col("bin") * F.col("step")).alias("left_edge"), "n")
+
+
+def config_grid(spark: SparkSession, normal: tuple[str, ...] = ("none", "noise", "semantic", "full"), build: tuple[str, ...] = ("legacy", "block")) -> DataFrame:
+    """Every way of normalizing with every way of building: normal, build and the configuration's name."""
+    one = lambda xs, name: spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in xs])).alias(name))
+    return one(normal, "normal").crossJoin(one(build, "build")).withColumn("config", F.concat_ws("_", "normal", "build"))
+
+
 def percentiles(df: DataFrame, groups: list[str], value: str, at: tuple[float, ...] = (0.8, 0.99)) -> DataFrame:
     """Exact percentiles with linear interpolation, with count, mean and maximum."""
     return df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).cast("double").alias("max"), *[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in at])
