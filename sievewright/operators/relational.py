@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewright.session import materialize
+
 #: A side may be broadcast when the optimizer estimates at most so many bytes for it; beyond that a shuffle join is used.
 BROADCAST_BYTES = 64 << 20
 
@@ -80,14 +82,18 @@ def valid_prefix(df: DataFrame, valid: Column, order: str, start: int = 1) -> Da
 def row_numbers(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """1-based numbers by a total order, without sorting into one task: ranges are sorted apart and counted up.
 
-    Rows are ranged by the order's first column; each range's count is summed over the ranges before it (their number is that of
-    the shuffle's partitions).
+    The ranged rows are written once, each with its place within its range. The bounds of a range shuffle are sampled anew
+    whenever a plan runs, so the counts and the rows must come from the same run. Rows that tie in `order` are numbered in any
+    order; an empty frame stays empty.
     """
-    ranged = df.repartitionByRange(*[F.col(o) for o in order]).withColumn("__range", F.spark_partition_id())
-    local = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("__range", "__before")), "__range").withColumn(name, F.col("__n") + F.col("__before")).drop("__range", "__n", "__before")
+    spread = df.repartitionByRange(*[F.col(o) for o in order]).sortWithinPartitions(*order)
+    ranged = materialize(spread.withColumn("__place", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__place", 33)  # the upper bits of such an id are the range's number, the lower ones the row's within it
+    sizes = ranged.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select("__range", F.coalesce(F.sum("__size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ranged.withColumn("__range", part).join(F.broadcast(before), "__range")  # one row for each range
+    return numbered.withColumn(name, place + F.col("__before") + 1).drop("__range", "__place", "__before")
 
 
 def row_slice(df: DataFrame, start: int | None = None, count: int | None = None, order: str = "idx") -> DataFrame:
