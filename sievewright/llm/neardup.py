@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.nearsets import class_rows, components, signatures, trie_candidates, verified
-from sievewright.session import materialize
+from sievewright.session import materialize, release
 
 
 @dataclass
@@ -39,7 +39,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.75
 
     Null, empty and short texts (under `min_words` words) have no rows. `key` must be unique; repeated rows under other keys are
     copies: they share a representative, the least key of their class. Equal texts always meet; different ones meet when they
-    share one of 48 minwise bands, which a pair at 0.75 misses with probability 1e-4, and their fingerprints of 128 bits differ
+    share one of 34 minwise bands, which a pair at 0.75 misses with probability 1e-4, and their fingerprints of 128 bits differ
     in at most `budget` (a pair at 0.75 differs in 16 on average; beyond 34 with probability 1e-6). Every met pair is checked
     exactly. Other columns of `df` are ignored.
     """
@@ -50,4 +50,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.75
     chosen = texts.join(first, F.col("key") == F.col("representative"), "left_semi")
     signed = materialize(signatures(chosen, "key", "text"), "signatures")
     pairs = materialize(trie_candidates(signed, budget), "pairs")
-    return NearDuplicates(members, materialize(verified(pairs, texts, "key", "text", similarity), "links"))
+    release(signed)
+    links = materialize(verified(pairs, texts, "key", "text", similarity), "links")
+    release(pairs)
+    return NearDuplicates(members, links)

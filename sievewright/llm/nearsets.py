@@ -14,16 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.words import Flat, combine, list_array, mix, words_of
-from sievewright.session import materialize
+from sievewright.session import materialize, release
 
-#: Bands of rows. At similarity 0.75 a pair shares none of 48 bands of 6 with probability 1e-4, at 0.8 with 2e-7.
-BANDS, ROWS = 48, 6
+#: Bands of rows. At similarity 0.75 a pair shares none of 34 bands of 5 with probability 1e-4, at 0.8 with 1e-6.
+BANDS, ROWS = 34, 5
 #: One bit of each of the first so many minwise values is the fingerprint of a text.
 PRINT_BITS = 128
 
 
 def element_hashes(flat: Flat) -> np.ndarray:
-    """A hash of each word together with its number among the equal words before it: multisets become sets."""
+    """A hash of each one-word shingle together with its number among the equal ones before it: multisets become sets.
+
+    The similarity is defined over words counted with repeats, so the shingles that minwise hashing samples are single words: only
+    then is the chance that two texts agree in a minimum their similarity itself, whatever the order of the words.
+    """
     return combine(flat.hashes(), flat.occurrences().astype(np.uint64))
 
 
@@ -106,23 +110,41 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: f
     return both.select("a", "b", (F.col("common") / (F.size("xs") + F.size("ys") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def popcounts(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a_hi ^ b_hi).astype(np.int64) + np.bitwise_count(a_lo ^ b_lo)
+def common_bits(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndarray) -> np.ndarray:
+    """How many leading bits two fingerprints share: the depth at which their paths in the trie part, PRINT_BITS if never."""
+
+    def leading(x: np.ndarray) -> np.ndarray:
+        for k in (1, 2, 4, 8, 16, 32):  # all bits below the highest one are set, then the zeros above it are counted
+            x = x | (x >> np.uint64(k))
+        return np.bitwise_count(~x).astype(np.int64)
+
+    hi, lo = a_hi ^ b_hi, a_lo ^ b_lo
+    return np.where(hi != 0, leading(hi), 64 + leading(lo))
+
+
+def prefix_differences(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """In how many of their first `depth` bits two fingerprints differ."""
+    high, low = np.minimum(depth, 64), np.maximum(depth - 64, 0)
+    cut = lambda x, n: np.where(n > 0, x >> (np.uint64(64) - np.maximum(n, 1).astype(np.uint64)), np.uint64(0))
+    return np.bitwise_count(cut(a_hi ^ b_hi, high)).astype(np.int64) + np.bitwise_count(cut(a_lo ^ b_lo, low))
 
 
-def forest_join(group: np.ndarray, side: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def forest_join(group: np.ndarray, side: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group whose fingerprints differ in at most `budget` bits: a binary trie joined with itself.
 
-    The rows of a group, in the order of their bits, are a trie: a node is the range of rows that share a prefix. Pairs of nodes
-    go down together, bit by bit, all groups at once; each step adds the bits in which a pair's prefixes differ, and a pair over
-    the budget is dropped with all below it. A pair of nodes with at most `leaf` pairs of rows is compared by its remaining bits.
-    In a group with rows of both sides, only pairs between sides count.
+    The rows of a group, in the order of their bits, are a trie with compressed paths: a node is the range of rows that share a
+    prefix, and its depth is that of the bit at which the range parts. Pairs of nodes go down together, all groups at once: at
+    the next depth at which either of a pair parts, the bits in which their prefixes differ so far are counted, and a pair over
+    the budget is dropped with all below it. A pair of nodes that part no more holds equal fingerprints on each side, and all of
+    it is within the budget. In a group with rows of both sides, only pairs between sides count. `seen` takes the numbers of node
+    pairs visited and pruned.
     """
     order = np.lexsort((lo, hi, side, group))
     group, side, hi, lo = group[order], side[order], hi[order], lo[order]
     n = len(group)
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     edge = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]))))
     first, last, g = edge, np.concatenate((edge[1:], [n])), group[edge]
     mate = np.zeros(len(edge), bool)
@@ -130,55 +152,73 @@ def forest_join(group: np.ndarray, side: np.ndarray, hi: np.ndarray, lo: np.ndar
     alone = ~mate
     alone[1:] &= ~mate[:-1]
     k = np.flatnonzero(mate)
-    a0, a1 = np.concatenate((first[alone], first[k])), np.concatenate((last[alone], last[k]))
-    b0, b1 = np.concatenate((first[alone], first[k + 1])), np.concatenate((last[alone], last[k + 1]))
-    diff = np.zeros(len(a0), np.int64)
+    waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
     left, right = [], []
-
-    def compare(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
-        size = (a1 - a0) * (b1 - b0)
-        for part in np.array_split(np.arange(len(size)), int(size.sum()) // 2_000_000 + 1):
-            s = size[part]
-            inner = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            wide = np.repeat(b1[part] - b0[part], s)
-            x, y = np.repeat(a0[part], s) + inner // wide, np.repeat(b0[part], s) + inner % wide
-            ok = ((x < y) | (np.repeat(a0[part] != b0[part], s))) & (popcounts(hi[x], lo[x], hi[y], lo[y]) <= budget)
+    visited = pruned = 0
+
+    def enter(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+        """Count what the prefixes of node pairs differ in, prune, and leave the rest to wait for the depth at which they part."""
+        nonlocal visited, pruned
+        some = (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 < 2))
+        a0, a1, b0, b1 = (x[some] for x in (a0, a1, b0, b1))
+        part = np.minimum(*(common_bits(hi[x], lo[x], hi[y - 1], lo[y - 1]) for x, y in ((a0, a1), (b0, b1))))
+        ok = prefix_differences(hi[a0], lo[a0], hi[b0], lo[b0], part) <= budget
+        visited += len(ok)
+        pruned += int((~ok).sum())
+        nodes = [x[ok] for x in (a0, a1, b0, b1)]
+        part = part[ok]
+        by = np.argsort(part, kind="stable")
+        depths, at = np.unique(part[by], return_index=True)
+        for d, rows in zip(depths.tolist(), np.split(by, at[1:]) if len(by) else (), strict=True):
+            waiting.setdefault(d, []).append(tuple(x[rows] for x in nodes))
+
+    enter(np.concatenate((first[alone], first[k])), np.concatenate((last[alone], last[k])), np.concatenate((first[alone], first[k + 1])), np.concatenate((last[alone], last[k + 1])))
+    while waiting:
+        depth = min(waiting)
+        a0, a1, b0, b1 = (np.concatenate(x) for x in zip(*waiting.pop(depth), strict=True))
+        if depth == PRINT_BITS:  # equal on each side, and within the budget
+            size = (a1 - a0) * (b1 - b0)
+            s = np.concatenate(([0], np.cumsum(size)))
+            inner, wide = np.arange(s[-1]) - np.repeat(s[:-1], size), np.repeat(b1 - b0, size)
+            x, y = np.repeat(a0, size) + inner // wide, np.repeat(b0, size) + inner % wide
+            ok = (x < y) | np.repeat(a0 != b0, size)
             left.append(order[x[ok]])
             right.append(order[y[ok]])
-
-    for depth in range(PRINT_BITS + 1):
-        ends = np.ones(len(a0), bool) if depth == PRINT_BITS else (a1 - a0) * (b1 - b0) <= leaf
-        if ends.any():
-            compare(a0[ends], a1[ends], b0[ends], b1[ends])
-        a0, a1, b0, b1, diff = (x[~ends] for x in (a0, a1, b0, b1, diff))
-        if not len(a0):
-            break
+            continue
         word, shift = (hi, 63 - depth) if depth < 64 else (lo, 127 - depth)
         ones = np.concatenate(([0], np.cumsum(((word >> np.uint64(shift)) & np.uint64(1)).astype(np.int64))))
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        one = a0 == b0  # a node with itself
-        zero = np.zeros_like(diff)
-        kids = [(a0, am, b0, bm, diff, zero == 0), (am, a1, bm, b1, diff, zero == 0), (a0, am, bm, b1, diff + 1, zero == 0), (am, a1, b0, bm, diff + 1, ~one)]
-        keep = [(x1 > x0) & (y1 > y0) & (d <= budget) & on for x0, x1, y0, y1, d, on in kids]
-        a0, a1, b0, b1, diff = (np.concatenate([kid[i][kp] for kid, kp in zip(kids, keep, strict=True)]) for i in range(5))
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        two = a0 != b0  # a node with itself has no fourth pair
+        enter(*(np.concatenate(x) for x in zip((a0, am, b0, bm), (am, a1, bm, b1), (a0, am, bm, b1), (am[two], a1[two], b0[two], bm[two]), strict=True)))
+    if seen is not None:
+        seen["visited"], seen["pruned"] = seen.get("visited", 0) + visited, seen.get("pruned", 0) + pruned
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def trie_candidates(signed: DataFrame, budget: int, most: int = 2048) -> DataFrame:
+def trie_candidates(signed: DataFrame, budget: int, most: int = 2048, side: str | None = None) -> DataFrame:
     """Distinct pairs (a < b) of keys that share a band and whose fingerprints differ in at most `budget` bits.
 
-    Only bands and keys are shuffled to find the bands with more than one row; fingerprints join what is left. A band of more than `most` rows is cut into chunks and every two chunks meet in a cell of
-    their own, so that no task holds more than two chunks of a band, however many rows share it; no pair is lost.
+    With `side`, a column of 0 and 1 (a key may have a row of each), a is a key of side 0, b one of side 1, and only such pairs count.
+    Only bands and keys are shuffled to find the bands with more than one row; fingerprints join what is left. A band of more
+    than `most` rows is cut into chunks, and every two chunks that have to meet do so in a cell of their own, so that no task
+    holds more than two chunks of a band, however many rows share it; no pair is lost.
     """
-    bands = signed.select("key", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sides = [] if side is None else [F.col(side).cast("int").alias("side")]
+    bands = signed.select("key", *sides, F.explode("bands").alias("band"))
+    if side is None:
+        sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    else:
+        sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("__low"), F.max("side").alias("__high")).filter("__low < __high").drop("__low", "__high")
     rows = bands.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / most))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = rows.select(
-        F.when(F.col("chunks") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("cell"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"),
-        "key",
-    ).join(signed.select("key", "print_hi", "print_lo"), "key")
+    if side is None:
+        first, second, at = F.least("chunk", "other"), F.greatest("chunk", "other"), (F.col("chunk") > F.col("other")).cast("int")
+    else:  # a cell has a chunk of each side
+        of_b = F.col("side") == 1
+        first, second, at = F.when(of_b, F.col("other")).otherwise(F.col("chunk")), F.when(of_b, F.col("chunk")).otherwise(F.col("other")), F.col("side")
+    cell = F.when(F.col("chunks") == 1, F.col("band")).otherwise(F.xxhash64("band", first, second))
+    prints = signed.select("key", "print_hi", "print_lo")
+    cells = rows.select(cell.alias("cell"), at.alias("side"), "key").join(prints if side is None else prints.dropDuplicates(["key"]), "key")
     kind = cells.schema["key"].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +227,11 @@ def trie_candidates(signed: DataFrame, budget: int, most: int = 2048) -> DataFra
         def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c, k: t.column(c).to_numpy().astype(np.int64).view(k)
             keys = t.column("key").combine_chunks()
-            x, y = forest_join(col("cell", np.int64), col("side", np.int64), col("print_hi", np.uint64), col("print_lo", np.uint64), budget)
+            at = col("side", np.int64)
+            x, y = forest_join(col("cell", np.int64), at, col("print_hi", np.uint64), col("print_lo", np.uint64), budget)
+            if side is not None:
+                x, y = x[at[x] != at[y]], y[at[x] != at[y]]
+                x, y = np.where(at[x] == 0, x, y), np.where(at[x] == 0, y, x)
             if len(x):
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y))], names=["a", "b"])
 
@@ -200,13 +244,15 @@ def trie_candidates(signed: DataFrame, budget: int, most: int = 2048) -> DataFra
         if rest is not None:
             yield from run(rest)
 
-    pairs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, f"a {kind}, b {kind}")
-    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, f"a {kind}, b {kind}").filter("a != b")
+    return (pairs if side is not None else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """id, component (its least id) of every node of the edges (a, b), by alternating large and small stars.
 
+    The rounds needed grow with the logarithm of the longest chain; more than `rounds` is an error, not a partial result.
+
     Every round is a table in the shared folder; minima are combined before the shuffle, so hubs cost no more than other nodes.
     """
     e = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
@@ -217,7 +263,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialize(small.filter("u != v").distinct(), "star")
+        old, e = e, materialize(small.filter("u != v").distinct(), "star")
+        release(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -73,20 +73,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------------
-def overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    from sievewright.llm.crosssplit import cross_split_overlaps
+def overlaps(spark: SparkSession, sf: str):
+    from sievewright.llm.crosssplit import cross_split
 
-    return cross_split_overlaps(table(spark, sf, "final_row"), "row_id", "instance_id", "problem_statement", "split")
+    return cross_split(table(spark, sf, "final_row"), "row_id", "instance_id", "problem_statement", "split")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return overlaps(spark, sf).select(F.least("train_key", "eval_key").alias("row_id_a"), F.greatest("train_key", "eval_key").alias("row_id_b"))
+    return overlaps(spark, sf).pairs().select(F.least("train_key", "eval_key").alias("row_id_a"), F.greatest("train_key", "eval_key").alias("row_id_b"))
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return overlaps(spark, sf).classes().select(F.col("key").alias("row_id"), "side", "class", "n_links", "n_same_instance")
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     from sievewright.llm.crosssplit import overlap_report
 
-    return overlap_report(overlaps(spark, sf), table(spark, sf, "final_row").filter("split IN ('valid', 'test')"), "row_id", "split", "source")
+    return overlap_report(overlaps(spark, sf).pairs(), table(spark, sf, "final_row").filter("split IN ('valid', 'test')"), "row_id", "split", "source")
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------------------
@@ -177,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_rates": p6_rates,

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.llm import endings, leaks, markup, mojibake, nearsets, pairs, repetition, splitting, tokens, truncation, words
-from sievewright.llm.crosssplit import cross_split_overlaps, overlap_report
+from sievewright.llm.crosssplit import cross_split, overlap_report
 from sievewright.llm.labeller import Labeller, Renderer, PLAIN, pad, trained
 from sievewright.llm.neardup import near_duplicates
 from sievewright.llm.queries import tokenizer_path
@@ -237,7 +237,7 @@ def test_forest_join_levels():
     n = 400
     hi, lo = r.integers(0, 8, n).astype(np.uint64) << np.uint64(60), r.integers(0, 16, n).astype(np.uint64)
     group = r.integers(0, 3, n)
-    x, y = nearsets.forest_join(group, np.zeros(n, np.int64), hi, lo, 2, leaf=1)
+    x, y = nearsets.forest_join(group, np.zeros(n, np.int64), hi, lo, 2)
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and bin(int(hi[i] ^ hi[j])).count("1") + bin(int(lo[i] ^ lo[j])).count("1") <= 2}
     assert got == want and len(x) == len(want)
@@ -255,7 +255,8 @@ def test_cross_split_against_brute_force(spark, near_samples):
     for i, s in enumerate(near_samples):
         rows.append((i, r.choice(["a/b-1", "A_B 1", "x2", None, "--", f"u{i}"]), r.choice(["train", "train", "valid", "test", None, "other"]), r.choice(["s", "t", None]), s))
     df = spark.createDataFrame(rows, "id long, inst string, split string, source string, body string").withColumn("key", F.lit(0)).withColumn("side", F.lit(0)).withColumn("instance", F.lit(0))
-    got = cross_split_overlaps(df, "id", "inst", "body", "split")
+    found = cross_split(df, "id", "inst", "body", "split")
+    got = found.pairs()
     norm = lambda x: re.sub(r"[\W_]", "", x or "").lower() or None
     long = lambda s: s and len(WORD.findall(s)) >= 10
     want = set()
@@ -267,7 +268,52 @@ def test_cross_split_against_brute_force(spark, near_samples):
     assert {(x["train_key"], x["eval_key"]) for x in got.collect()} == want
     rep = overlap_report(got, df.filter("split IN ('valid', 'test')"), "id", "split", "source")
     assert rep.agg(F.sum("n_pairs")).first()[0] == len(want)
-    assert cross_split_overlaps(df.limit(0), "id", "inst", "body", "split").count() == 0
+    assert cross_split(df.limit(0), "id", "inst", "body", "split").pairs().count() == 0
+    # one row for each row, with the number of distinct texts it is linked to on the other side
+    cls = {x["key"]: x for x in found.classes().collect()}
+    side = {a[0]: 0 if a[2] == "train" else 1 for a in rows if a[2] in ("train", "valid", "test")}
+    assert {k: x["side"] for k, x in cls.items()} == side
+    body, inst = {a[0]: a[4] for a in rows}, {a[0]: norm(a[1]) for a in rows}
+    for k, x in cls.items():
+        others = [j for j in side if side[j] != side[k]]
+        near = {tuple(sorted(WORD.findall(body[j].lower()))) for j in others if long(body[j]) and long(body[k]) and similarity(body[j], body[k]) >= 0.75}
+        assert x["n_links"] == len(near) and x["n_same_instance"] == sum(1 for j in others if inst[k] and inst[j] == inst[k])
+
+
+def test_hot_band_across_sides_is_cut_into_cells_without_loss(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(r.choice([7, 7, 7, 8, 9])), i, int(r.integers(0, 3)), int(r.integers(0, 16)), int(r.integers(0, 4))) for i in range(120)]
+    df = spark.createDataFrame([([b], k, [s] if s < 2 else [0, 1], hi, lo) for b, k, s, hi, lo in rows], "bands array<long>, key long, sides array<int>, print_hi long, print_lo long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[0] == b[0] and a[2] != 1 and b[2] != 0 and sum(bin(x ^ y).count("1") for x, y in zip(a[3:], b[3:], strict=True)) <= 2}
+    for most in (3, 25, 2048):
+        got = [(x["a"], x["b"]) for x in nearsets.trie_candidates(df.withColumn("side", F.explode("sides")), 2, most, side="side").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trie_visits_few_node_pairs_and_prunes():
+    """Fingerprints of 200 sources with 10 near copies each, all in one group: the trie meets under a quarter of two million pairs."""
+    r = np.random.default_rng(8)
+    n = 2000
+    flips = np.zeros((n, 2), np.uint64)
+    for _ in range(2):
+        flips[np.arange(n), r.integers(0, 2, n)] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+    prints = np.repeat(r.integers(0, 1 << 63, (n // 10, 2), dtype=np.uint64), 10, axis=0) ^ flips
+    seen: dict[str, int] = {}
+    x, y = nearsets.forest_join(np.zeros(n, np.int64), np.zeros(n, np.int64), prints[:, 0].copy(), prints[:, 1].copy(), 4, seen)
+    assert len(x) == n // 10 * 45 and set((x // 10 == y // 10).tolist()) == {True}
+    assert seen["visited"] < n * n / 2 / 4 and 0 < seen["pruned"] < seen["visited"]
+
+
+@pytest.mark.parametrize("edits", [0.02, 0.05, 0.08])
+def test_minwise_bands_lose_no_pair_of_small_edits(spark, edits):
+    """Recall of the candidates alone, against brute force over every pair at 0.75 or more."""
+    r = random.Random(int(edits * 100))
+    v = vocabulary(31)
+    texts = [t for _ in range(150) for b in [prose(r, v, r.randint(12, 80))] for t in (b, edited(r, v, b, edits))]
+    signed = nearsets.signatures(texts_df(spark, texts), "id", "body")
+    got = {(x["a"], x["b"]) for x in nearsets.trie_candidates(signed, 34).collect()}
+    want = {(i, i + 1) for i in range(0, 300, 2) if similarity(texts[i], texts[i + 1]) >= 0.75 and texts[i] != texts[i + 1]}
+    assert want and want <= got
 
 
 # endings and truncation ------------------------------------------------------------------------------------------------------------
