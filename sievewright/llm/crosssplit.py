@@ -70,7 +70,7 @@ def cross_split(
     first = classed.groupBy("class_a", "class_b").agg(F.min("key").alias("class"), F.sort_array(F.collect_set("side")).alias("sides"))
     members = materialize(classed.join(first.select("class_a", "class_b", "class"), ["class_a", "class_b"]).select("key", "side", "class"), "members")
     chosen = rows.select("key", "text").join(first.select(F.col("class").alias("key"), "sides"), "key")
-    signed = materialize(signatures(chosen, "key", "text", ["sides"]), "signatures")
+    signed = materialize(signatures(chosen, "key", "text", ["sides"], 34, 5), "signatures")
     release(classed)
     pairs = materialize(trie_candidates(signed.withColumn("side", F.explode("sides")), budget, side="side"), "pairs")
     release(signed)

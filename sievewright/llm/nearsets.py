@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from sievewright.llm.words import Flat, combine, list_array, mix, words_of
 from sievewright.session import materialize, release
 
-#: Bands of rows. At similarity 0.75 a pair shares none of 34 bands of 5 with probability 1e-4, at 0.8 with 1e-6.
-BANDS, ROWS = 34, 5
+#: Bands of rows. At similarity 0.75 a pair shares none of 48 bands of 6 with probability 1e-4, at 0.8 with 2e-7; so it is with 34
+#: bands of 5 (at 0.8 1e-6), which cost less to hash and to shuffle, but hold more pairs that are not alike.
+BANDS, ROWS = 48, 6
 #: One bit of each of the first so many minwise values is the fingerprint of a text.
 PRINT_BITS = 128
 
@@ -50,14 +51,14 @@ def class_rows(df: DataFrame, key: str, text: str, min_words: int, carry: list[s
     return src.mapInArrow(run, schema)
 
 
-def signatures(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
+def signatures(df: DataFrame, key: str, text: str, carry: list[str] = [], n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:  # noqa: B006
     """A row for each text: key, its fingerprint (print_hi, print_lo), and bands, a hash of each band's minwise values and number."""
     src = df.select(F.col(key).alias("key"), *carry, words_of(text).alias("words"))
     kinds = src.schema.fields[:-1]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "print_hi long, print_lo long, bands array<long>"
     rng = np.random.default_rng(20_240_229)
-    mul = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    mul = rng.integers(1, 1 << 63, n_bands * n_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, n_bands * n_rows, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,21 +66,21 @@ def signatures(df: DataFrame, key: str, text: str, carry: list[str] = []) -> Dat
                 part = b.slice(lo, 2000)
                 f = Flat(part.column(len(kinds)))
                 h, rows = element_hashes(f), len(f.n)
-                keys = np.zeros((rows, BANDS), np.uint64)
+                keys = np.zeros((rows, n_bands), np.uint64)
                 bits = np.zeros((rows, PRINT_BITS), np.uint8)
                 starts = np.minimum(f.start[:-1], max(0, len(h) - 1))
-                for k in range(BANDS * ROWS):
+                for k in range(n_bands * n_rows):
                     v = (h * mul[k] + add[k]) >> np.uint64(16)
                     low = np.minimum.reduceat(v, starts) if len(v) else np.zeros(rows, np.uint64)
                     low[f.n == 0] = 0
-                    if k % ROWS == 0:
-                        keys[:, k // ROWS] = k // ROWS
-                    keys[:, k // ROWS] = combine(keys[:, k // ROWS], low)
+                    if k % n_rows == 0:
+                        keys[:, k // n_rows] = k // n_rows
+                    keys[:, k // n_rows] = combine(keys[:, k // n_rows], low)
                     if k < PRINT_BITS:
                         bits[:, k] = mix(low) & np.uint64(1)
                 prints = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)), list_array(keys.ravel().view(np.int64), np.full(rows, BANDS), pa.int64())],
+                    [*part.columns[:-1], pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)), list_array(keys.ravel().view(np.int64), np.full(rows, n_bands), pa.int64())],
                     names=[*(k.name for k in kinds), "print_hi", "print_lo", "bands"],
                 )
 

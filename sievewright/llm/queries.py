@@ -116,19 +116,27 @@ def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------------------
-def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    from sievewright.llm.repetition import repetitive
+def repeated(spark: SparkSession, sf: str):
+    from sievewright.llm.repetition import repetition
 
     texts = (
         table(spark, sf, "cot")
         .select(F.lit("cot").alias("tbl"), "row_id", "model", F.col("gen_text").alias("text"))
         .unionByName(table(spark, sf, "prediction").select(F.lit("prediction").alias("tbl"), "row_id", "model", F.col("raw_output").alias("text")))
     )
-    return repetitive(texts, ["tbl", "row_id"], "text", ["tbl", "model"])
+    return repetition(texts, ["tbl", "row_id"], "text", ["tbl", "model"])
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated(spark, sf).rows.drop("__label")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_shares(spark, sf).filter("repetitive").select("tbl", "row_id")
+    return repeated(spark, sf).rows.filter("repetitive").select("tbl", "row_id")
+
+
+def p7_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated(spark, sf).report()
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------------------
@@ -187,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p7_cutoffs": p7_cutoffs,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +35,24 @@ def shares(flat: Flat, span: int) -> np.ndarray:
     return covered[flat.start[1:]] - covered[flat.start[:-1]]
 
 
-def repeated_share(df: DataFrame, keys: list[str], text: str, span: int = 5) -> DataFrame:
-    """`keys`, n_words, n_repeated and share (n_repeated / n_words) of every row.
+def repeated_share(df: DataFrame, keys: list[str], text: str, span: int = 5, screen: int = 2) -> DataFrame:
+    """`keys`, n_words, n_repeated, share (n_repeated / n_words) and screen_share (the same for stretches of `screen` words) of every row.
 
-    Null, empty and blank texts have 0 words and share 0.0, texts shorter than `span` words share 0.0. Repeated rows and ties
-    keep a row each. Key columns pass through unchanged; other columns are ignored.
+    A stretch that began earlier is made of shorter ones that did, so screen_share is never below share. Null, empty and blank
+    texts have 0 words and share 0.0, texts shorter than `span` words share 0.0. Repeated rows and ties keep a row each. Key
+    columns pass through unchanged; other columns are ignored.
     """
     src = df.select(*keys, words_of(text).alias("__words"))
     kinds = src.schema.fields[:-1]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "n_words int, n_repeated int, share double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "n_words int, n_repeated int, share double, screen_share double"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = Flat(b.column(len(kinds)))
-            rep = shares(flat, span)
+            rep, rough, n = shares(flat, span), shares(flat, screen), np.maximum(flat.n, 1)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(flat.n, pa.int32()), pa.array(rep, pa.int32()), pa.array(rep / np.maximum(flat.n, 1))],
-                names=[*(f.name for f in kinds), "n_words", "n_repeated", "share"],
+                [*b.columns[:-1], pa.array(flat.n, pa.int32()), pa.array(rep, pa.int32()), pa.array(rep / n), pa.array(rough / n)],
+                names=[*(f.name for f in kinds), "n_words", "n_repeated", "share", "screen_share"],
             )
 
     return src.mapInArrow(measure, schema)
@@ -110,24 +112,49 @@ def controlled_cutoffs(scored: DataFrame, strata: list[str], label: str, score:
     return counts.withColumn("__strata", scored.select(*strata).distinct().agg(F.count(F.lit(1))).scalar()).mapInArrow(pick, schema)
 
 
-def repetitive(
-    df: DataFrame, keys: list[str], text: str, strata: list[str], span: int = 5, min_words: int = 10, share: float = 0.35, risk: float = 0.02, confidence: float = 0.95, holdout: int = 2000
-) -> DataFrame:
-    """Rows of `repeated_share` with their stratum's cutoff, `rejected` (share at or above the cutoff) and `repetitive`.
-
-    The holdout is labelled by the definition (at least `min_words` words and `share` or more of them repeated). Cutoffs come from a
-    grid that ends at that share, so `rejected` holds every repetitive row, besides at most `risk` of the others; `repetitive` is the
-    definition checked on the rejected rows. `strata` are columns of `df`; null is a stratum of its own.
+@dataclass
+class Repetition:
+    """rows: keys, strata, shares, rejected (the screen reaches its stratum's cutoff) and repetitive; cutoffs: one for each stratum."""
+
+    rows: DataFrame
+    cutoffs: DataFrame
+    strata: list[str]
+
+    def report(self) -> DataFrame:
+        """Strata, cutoff, n_holdout, n_good, upper_bound and safe of the fit, and what the cutoff does over all rows: n_rows, n_rejected,
+        n_false (rejected, but not repetitive by the definition), n_repetitive and n_lost (repetitive, but not rejected)."""
+        label = F.col("__label")
+        n = self.rows.groupBy(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(self.strata)]).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if("rejected").alias("n_rejected"), F.count_if(F.col("rejected") & ~label).alias("n_false"), F.count_if("repetitive").alias("n_repetitive"), F.count_if(label & ~F.col("rejected")).alias("n_lost")
+        )
+        on = F.lit(True)
+        for i, c in enumerate(self.strata):
+            on = on & self.cutoffs[c].eqNullSafe(n[f"__r{i}"])
+        return self.cutoffs.join(n, on).drop(*[f"__r{i}" for i in range(len(self.strata))])
+
+
+def repetition(
+    df: DataFrame, keys: list[str], text: str, strata: list[str], span: int = 5, min_words: int = 10, share: float = 0.35, risk: float = 0.05, confidence: float = 0.95, holdout: int = 2000
+) -> Repetition:
+    """Texts that repeat themselves, screened by risk-controlled cutoffs and then checked by the definition.
+
+    The screen is the share of words in stretches of two words that began earlier. Its cutoff in a stratum is the lowest of a grid
+    for which a labelled holdout (`holdout` rows, labelled by the definition: at least `min_words` words, `share` or more of them
+    in repeated stretches of `span`) shows that at most `risk` of the sound texts reach it, at `confidence` over all strata at once.
+    `rejected` is what reaches the cutoff; `repetitive` is the definition, checked on what is rejected. The grid ends at `share`, and
+    the screen is never below the share itself, so no repetitive text is lost wherever a cutoff comes to lie; a stratum that no
+    cutoff of the grid is safe for gets the strictest and is marked by safe = false, its falsely rejected texts are sorted out by
+    the check as everywhere. `strata` are columns of `df`; null is a stratum of its own. An empty table has no rows and no cutoffs.
     """
     kept = list(dict.fromkeys([*keys, *strata]))
     s = materialize(repeated_share(df, kept, text, span), "shares")
     s = s.withColumn("__label", (F.col("n_words") >= min_words) & (F.col("share") >= share))
-    grid = [round(share * k / 7, 6) for k in range(3, 7)] + [share]
-    cuts = controlled_cutoffs(s, strata, "__label", "share", grid, risk, confidence, holdout, keys)
-    cuts = cuts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], "cutoff", "upper_bound")
+    grid = [round(share * k / 7, 6) for k in range(1, 7)] + [share]
+    fitted = controlled_cutoffs(s, strata, "__label", "screen_share", grid, risk, confidence, holdout, keys).withColumn("safe", F.col("upper_bound") <= risk)
+    cuts = fitted.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], "cutoff")
     on = F.lit(True)
     for i, c in enumerate(strata):
         on = on & s[c].eqNullSafe(cuts[f"__s{i}"])
     j = s.join(cuts, on, "left").drop(*[f"__s{i}" for i in range(len(strata))])
-    rejected = F.col("share") >= F.coalesce("cutoff", F.lit(share))
-    return j.withColumn("rejected", rejected).withColumn("repetitive", F.col("rejected") & F.col("__label")).drop("__label")
+    j = j.withColumn("rejected", F.col("screen_share") >= F.coalesce("cutoff", F.lit(share)))
+    return Repetition(j.withColumn("repetitive", F.col("rejected") & F.col("__label")), fitted, strata)

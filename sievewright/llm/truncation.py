@@ -75,16 +75,17 @@ def significant_lengths(hazards: DataFrame, source: list[str], rate: float = 0.0
     by = W.partitionBy(*source).orderBy("p_value")
     ranked = hazards.withColumn("__rank", F.rank().over(by)).withColumn("__tests", F.count(F.lit(1)).over(W.partitionBy(*source)))
     ok = F.max(F.when(F.col("p_value") <= F.lit(rate) * F.col("__rank") / F.col("__tests"), F.col("p_value"))).over(W.partitionBy(*source))
-    return ranked.withColumn("__limit", ok).filter("p_value <= __limit AND n_at >= 4").drop("__rank", "__tests", "__limit")
+    return ranked.withColumn("__limit", ok).filter("p_value <= __limit").drop("__rank", "__tests", "__limit")
 
 
 def truncated(df: DataFrame, keys: list[str], text: str, source: list[str], slack: int = 4, rate: float = 0.001) -> DataFrame:
     """Every non-empty text with `cut_at` (the significant length it ends at, up to `slack` below it since trailing blanks may
     have been stripped; null elsewhere), ending, truncated and cause (`fixed_length`, `mid_transfer` or null).
 
-    At significant lengths every ending but a closed one counts as cut off; elsewhere only endings that nothing complete has:
-    open tags or fences, half a character, escape or entity, or no end of a sentence. Null and empty texts have no rows; blank
-    ones are never truncated. Null sources are a source. Repeated rows keep a row each.
+    Two rules. `fixed_length`: the text ends at a significant length, and its ending isn't a closed one. `mid_transfer`: a transfer
+    breaks off at any length, so no hazard shows it, and only endings that nothing complete has count: open tags or fences, half a
+    character, escape or entity, or no end of a sentence. Null and empty texts have no rows; blank ones are never truncated. Null
+    sources are a source. Repeated rows keep a row each.
     """
     rows = materialize(with_endings(df, list(dict.fromkeys([*keys, *source])), text), "endings")
     caps = significant_lengths(length_hazards(rows, source), source, rate)

@@ -5,6 +5,8 @@ A word is a maximal run of letters, digits and underscores, lower-cased. Null an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,3 +78,14 @@ class Flat:
 def list_array(values: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Lists of the given lengths over a flat array."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(values, kind))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose lists in `column` have about `most` elements together; a longer list is a part of its own."""
+    n = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -94,12 +94,37 @@ def test_repetitive_keeps_the_definition(spark):
     r = random.Random(3)
     samples = [prose(r, vocabulary(4, 300), 40) for _ in range(150)] + ["one two three four five six " * k for k in (1, 2, 3, 9)] + [None, "", "a b"]
     df = texts_df(spark, samples).withColumn("stratum", F.when(F.col("id") % 2 == 0, "even"))
-    out = repetition.repetitive(df, ["id"], "body", ["stratum"])
+    found = repetition.repetition(df, ["id"], "body", ["stratum"])
+    out = found.rows
     assert out.count() == len(samples)
     want = {i for i, s in enumerate(samples) if (n := brute_share(s))[0] >= 10 and n[1] / n[0] >= 0.35}
     assert {x["id"] for x in out.filter("repetitive").collect()} == want
     assert out.filter("repetitive AND NOT rejected").count() == 0
-    assert repetition.repetitive(df.limit(0), ["id"], "body", ["stratum"]).count() == 0
+    assert out.filter("screen_share < share").count() == 0
+    rep = found.report().collect()
+    assert sum(x["n_rows"] for x in rep) == out.count() and sum(x["n_repetitive"] for x in rep) == len(want) and {x["n_lost"] for x in rep} == {0}
+    none = repetition.repetition(df.limit(0), ["id"], "body", ["stratum"])
+    assert none.rows.count() == 0 and none.report().count() == 0
+
+
+def test_cutoffs_limit_false_rejection(spark):
+    """Two strata with different habits get different cutoffs, and neither rejects more sound texts than the risk."""
+    r = random.Random(21)
+    v, few = vocabulary(22), vocabulary(23, 40)
+    rows = []
+    for i in range(2400):
+        loose = i % 2
+        t = prose(r, few if loose else v, r.randint(30, 60))
+        rows.append((i, "loose" if loose else None, t + (" " + t) * 3 if i % 9 == 0 else t))
+    df = spark.createDataFrame(rows, "id long, stratum string, body string")
+    found = repetition.repetition(df, ["id"], "body", ["stratum"], holdout=800)
+    rep = {x["stratum"]: x for x in found.report().collect()}
+    assert rep[None]["cutoff"] < rep["loose"]["cutoff"]
+    for x in rep.values():
+        assert x["n_repetitive"] and x["n_lost"] == 0
+        if x["safe"]:
+            assert x["upper_bound"] <= 0.05 and x["n_false"] / (x["n_rows"] - x["n_repetitive"]) <= 0.05
+    assert rep[None]["safe"]
 
 
 def test_binomial_bound():
@@ -152,6 +177,46 @@ def test_leaks_against_brute_force(spark):
     assert leaks.find_leaks(texts_df(spark, docs), "id", "body", none, "item", "body").count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_items_are_found(spark, edits):
+    """Whole items of 50 to 120 words with words replaced, inserted or left out: of those that stay similar enough by brute force
+    over all windows, at least 0.9 are found."""
+    r = random.Random(40 + edits)
+    v = vocabulary(41, 3000)
+    items = [prose(r, v, r.randint(50, 120)) for _ in range(150)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for _ in range(edits):
+            i = r.randrange(len(w))
+            w[i : i + r.choice((0, 1))] = r.choice(([], [r.choice(v)]))
+        docs.append(" ".join([prose(r, v, r.randint(0, 30)), *w, prose(r, v, r.randint(0, 30))]))
+    hashes = lambda t: words.Flat(pa.array([WORD.findall(t)])).hashes()
+    block = leaks.Block([hashes(t) for t in items], 20, 4, 3, 8)
+    similar = set()
+    for k, d in enumerate(docs):
+        size = next(s for s, _, at, _ in block.scales[1:] if (block.owner[at] == k).any())
+        rows = lambda t: np.lib.stride_tricks.sliding_window_view(leaks.shingles(hashes(t)), size - 4)
+        a, b = rows(d), rows(items[k])
+        if max(leaks.weighted_similarities(a, np.repeat(x[None], len(a), 0), block.known, block.weights).max() for x in b) >= 0.8:
+            similar.add(k)
+    found = leaks.find_leaks(texts_df(spark, docs), "id", "body", texts_df(spark, items).withColumnRenamed("id", "item"), "item", "body")
+    got = {x["id"] for x in found.filter("whole AND id = item").collect()}
+    assert len(similar) > 50 and len(got & similar) >= 0.9 * len(similar)
+    assert found.filter("id != item").count() == 0
+
+
+def test_leaks_of_very_long_texts(spark):
+    """A text of several segments: the passages at its start, at the edge of a segment and at its end are found."""
+    r = random.Random(43)
+    v = vocabulary(44, 2000)
+    items = [prose(r, v, 60) for _ in range(3)]
+    n = leaks.SEGMENT
+    long = " ".join([items[0], prose(r, v, n - 90), items[1], prose(r, v, n + 5), items[2]])
+    got = leaks.find_leaks(texts_df(spark, [long]), "id", "body", texts_df(spark, items).withColumnRenamed("id", "item"), "item", "body").collect()
+    assert {(x["item"], x["exact"], x["whole"], x["similarity"]) for x in got} == {(k, True, True, 1.0) for k in range(3)}
+
+
 def test_hamming_index_is_exact():
     r = np.random.default_rng(4)
     a = r.integers(0, 1 << 63, 300, dtype=np.uint64)
