@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,17 +19,31 @@ WORDS, HIDDEN = 24, 24
 INPUT = len(INDEX) + WORDS
 
 
+WORD = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=50_000)
+def slot(word: str) -> tuple[int, float]:
+    """Where a word goes in a line's vector, and its sign."""
+    h = zlib.crc32(word.encode())
+    return len(INDEX) + h % WORDS, 1.0 if h & 0x8000 else -1.0
+
+
 def vectors(lines: list[str], tag_paths: list[set[str]]) -> np.ndarray:
     """One row for each line: its tag path, and all of its hashed words as a bag of signs."""
-    x = np.zeros((len(lines), INPUT), np.float32)
+    at, values = [], []
     for i, (line, path) in enumerate(zip(lines, tag_paths, strict=True)):
+        base = i * INPUT
         for p in path:
-            x[i, INDEX[p]] = 1
-        words = re.findall(r"\w+", line.lower())
+            at.append(base + INDEX[p])
+            values.append(1.0)
+        words = WORD.findall(line.lower())
+        scale = (2 + len(words)) ** -0.5
         for w in words:
-            h = zlib.crc32(w.encode())
-            x[i, len(INDEX) + h % WORDS] += (1 if h & 0x8000 else -1) / (2 + len(words)) ** 0.5
-    return x
+            k, sign = slot(w)
+            at.append(base + k)
+            values.append(sign * scale)
+    return np.bincount(np.array(at, np.int64), weights=np.array(values), minlength=len(lines) * INPUT).astype(np.float32).reshape(len(lines), INPUT)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -52,8 +67,9 @@ class Labeller:
         w["o"], w["p"] = n(2 * HIDDEN + INPUT, len(MARKUPS) + len(KINDS)), np.zeros(len(MARKUPS) + len(KINDS), np.float32)
         return cls(w)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states over time of one direction; x: batch, time, input. Steps outside the mask leave the state alone."""
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states over time of one direction; x: batch, time, input. Steps outside the mask leave the state alone. What the
+        gradients need of each step is kept on demand only."""
         steps = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
         pre = x @ self.w["x" + d] + self.w["c" + d]
         h = c = np.zeros((x.shape[0], HIDDEN), np.float32)
@@ -65,14 +81,15 @@ class Labeller:
             c2 = m * (f * c + i * g) + (1 - m) * c
             tc = np.tanh(c2)
             h2 = m * (o * tc) + (1 - m) * h
-            kept.append((t, h, c, i, f, o, g, tc, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[:, t] = h
         return out, kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        f, kf = self.run(x, mask, "f")
-        b, kb = self.run(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, tuple]:
+        f, kf = self.run(x, mask, "f", keep)
+        b, kb = self.run(x, mask, "b", keep)
         both = np.concatenate((f, b, x), axis=2)
         y = both @ self.w["o"] + self.w["p"]
         e = np.exp(y[..., len(MARKUPS) :] - y[..., len(MARKUPS) :].max(axis=2, keepdims=True))
@@ -124,15 +141,23 @@ class Labeller:
                     own.w[k] = own.w[k] - rate * (1 - e / epochs) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         return own
 
-    def label(self, documents: list[tuple[list[str], list[set[str]]]], batch: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(probability of each language, kind) of every line of each document; documents are whole, however long."""
+    def label(self, documents: list[tuple[list[str], list[set[str]]]], batch: int = 64, cells: int = 40_000) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(probability of each language, kind) of every line of each document; documents are whole, however long.
+
+        Documents of like length are read together: at most `batch` of them, and at most `cells` lines with the padding, so that a
+        long one is alone and takes no more memory than its own lines.
+        """
         out: list = [None] * len(documents)
         order = sorted(range(len(documents)), key=lambda i: len(documents[i][0]))
-        for at in range(0, len(order), batch):
+        at = 0
+        while at < len(order):
             some = order[at : at + batch]
+            while len(some) > 1 and len(documents[some[-1]][0]) * len(some) > cells:
+                some.pop()
+            at += len(some)
             data = [(vectors(*documents[i]), np.zeros((len(documents[i][0]), len(MARKUPS)), np.float32), np.zeros(len(documents[i][0]), np.int64)) for i in some]
             x, mask, _, _ = pad(data)
-            p, q, _ = self.forward(x, mask)
+            p, q, _ = self.forward(x, mask, keep=False)
             for k, i in enumerate(some):
                 n = len(documents[i][0])
                 out[i] = (p[k, :n], q[k, :n].argmax(axis=1))

@@ -70,6 +70,18 @@ LINES = tuple(
         ("title", (), r"[A-Z][\w ]{2,60}\.?\s*$"),
     )
 )
+#: What a line must hold for an inline construct, and what its first character that isn't blank must be for a line's construct: cheap
+#: tests before the patterns. Constructs that aren't named here are always looked for.
+NEEDS = {
+    "comment": "<!--", "md_code": "`", "md_bold": "**", "md_link": "](", "md_image": "](", "md_reflink": "][", "md_refdef": "]:", "md_strike": "~~", "star_span": "*", "under_span": "_", "escape": "\\",
+    "wiki_bold": "''", "wiki_link": "[[", "wiki_extlink": "[http", "wiki_pipelink": "|", "wiki_brace": "{{", "tex_command": "\\", "tex_inline": "\\", "tex_dollar": "$",
+}
+STARTS = {
+    "hash_1": "#", "hash_2": "#", "md_quote": ">", "md_task": "-*+0123456789", "md_rule": "|:-", "bar_row": "|", "wiki_head": "=", "wiki_h": "h", "wiki_bq": "b", "wiki_deep": "*#", "wiki_define": ";:",
+    "wiki_header": "|", "wiki_row": "|!", "wiki_table": "{|", "tex_item": "\\", "star": "*", "dash": "-+", "number": "0123456789",
+}
+BY_START = {c: tuple(x for x in LINES if c in STARTS.get(x[0], c)) for c in {*"".join(STARTS.values())}}
+BY_START_ELSE = tuple(x for x in LINES if x[0] not in STARTS)
 FENCE = re.compile(r"\s*(```|~~~)")
 TEX_BEGIN, TEX_END = re.compile(r"\\begin\{([a-zA-Z*]+)\}"), re.compile(r"\\end\{([a-zA-Z*]+)\}")
 WIKI_CODE = re.compile(r"\{(code|noformat|panel|quote)(?:[:|][^}\n]*)?\}|<(?:syntaxhighlight|source|nowiki)\b", re.IGNORECASE)
@@ -130,42 +142,46 @@ def paths(lines: list[str]) -> list[set[str]]:
                 fence = m[1]
             f.add("md_fence")
         else:
-            for name, _, p in LINES:
+            # a number may be written in any digits, so it isn't told by its first character
+            for name, _, p in BY_START.get(bare[0], LINES if bare[0].isdigit() else BY_START_ELSE):
                 if p.match(line):
                     f.add(name)
             for name, _, p in INLINE:
-                if p.search(line):
+                if NEEDS[name] in line and p.search(line):
                     f.add(name)
-            for m in re.finditer(r"(?<![\w_])__(?=[^\s_])([^_\n]*[^\s_])__(?![\w_])", line):
-                if m[1] not in DUNDERS:
-                    f.add("md_bold_under")
-            for m in TAG.finditer(line):
-                t = (m[1] or m[2] or m[3]).lower()
-                if t in HTML_TAGS:
-                    f.add("html_" + GROUP.get(t, "block"))
-            low = line.lower()
-            if "<pre" in low:
-                html_code = max(0, len(re.findall(r"<pre\b", low)) - low.count("</pre>"))
-            html_list = max(0, html_list + len(re.findall(r"<[uo]l\b", low)) - len(re.findall(r"</[uo]l>", low)))
-            html_table = max(0, html_table + len(re.findall(r"<table\b", low)) - low.count("</table>"))
-            if ENTITY.search(line):
+            if "__" in line:
+                for m in re.finditer(r"(?<![\w_])__(?=[^\s_])([^_\n]*[^\s_])__(?![\w_])", line):
+                    if m[1] not in DUNDERS:
+                        f.add("md_bold_under")
+            if "<" in line:
+                for m in TAG.finditer(line):
+                    t = (m[1] or m[2] or m[3]).lower()
+                    if t in HTML_TAGS:
+                        f.add("html_" + GROUP.get(t, "block"))
+                low = line.lower()
+                if "<pre" in low:
+                    html_code = max(0, len(re.findall(r"<pre\b", low)) - low.count("</pre>"))
+                html_list = max(0, html_list + len(re.findall(r"<[uo]l\b", low)) - len(re.findall(r"</[uo]l>", low)))
+                html_table = max(0, html_table + len(re.findall(r"<table\b", low)) - low.count("</table>"))
+            if "&" in line and ENTITY.search(line):
                 f.add("html_entity")
-            if m := TEX_BEGIN.search(line):
-                f.add("tex_begin")
-                tex = None if TEX_END.search(line) else m[1].rstrip("*")
-            elif TEX_END.search(line):
-                f.add("tex_end")
-                tex = None
+            if "\\" in line:
+                if m := TEX_BEGIN.search(line):
+                    f.add("tex_begin")
+                    tex = None if TEX_END.search(line) else m[1].rstrip("*")
+                elif TEX_END.search(line):
+                    f.add("tex_end")
+                    tex = None
             if bare.startswith("{|"):
                 wiki_table = 1
             elif bare == "|}":
                 wiki_table = 0
-            if m := WIKI_CODE.search(line):
+            if ("{" in line or "<" in line) and (m := WIKI_CODE.search(line)):
                 f.add("wiki_code")
                 closing = r"\{" + m[1] + r"\}" if m[1] else r"</(?:syntaxhighlight|source|nowiki)>"
                 if not re.search(closing, line[m.end() :], re.IGNORECASE):
                     wiki = closing
-            elif WIKI_CALL.search(line) and "}}" not in line:
+            elif "{{" in line and WIKI_CALL.search(line) and "}}" not in line:
                 f.add("wiki_call")
                 wiki = "}}"
             if tex:
@@ -176,7 +192,7 @@ def paths(lines: list[str]) -> list[set[str]]:
                 f.add("in_html_list")
             if html_table:
                 f.add("in_html_table")
-            if SETEXT.match(bare) and len(bare) >= 3 and i and lines[i - 1].strip() and abs(len(lines[i - 1].strip()) - len(bare)) <= 2 and not out[-1] & {"dash", "bar_row", "md_rule", "wiki_table"}:
+            if bare[0] in "=-" and SETEXT.match(bare) and len(bare) >= 3 and i and lines[i - 1].strip() and abs(len(lines[i - 1].strip()) - len(bare)) <= 2 and not out[-1] & {"dash", "bar_row", "md_rule", "wiki_table"}:
                 f.add("md_setext")
                 out[-1].add("in_setext")
             if len(bare) < 60:
