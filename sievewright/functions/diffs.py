@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -293,14 +294,15 @@ def statements(entries: list[tuple[int, str]]) -> list[tuple[str, list[int]]]:
 
 def unmatched(old: list[str], new: list[str]) -> tuple[list[bool], list[bool]]:
     """Which statements of each side really changed: no counterpart in order, and not moved elsewhere."""
+    if not old or not new or old == new:
+        return [old != new] * len(old), [old != new] * len(new)
     keep = [[False] * len(old), [False] * len(new)]
     spans = [[], []]
     for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag != "equal":
             spans[0] += range(i1, i2)
             spans[1] += range(j1, j2)
-    tallies = [pd.Series([side[i] for i in s], dtype=object).value_counts() for side, s in zip((old, new), spans, strict=True)]
-    moved = {c: int(min(n, tallies[1].get(c, 0))) for c, n in tallies[0].items()}
+    moved = Counter(old[i] for i in spans[0]) & Counter(new[i] for i in spans[1])
     for flags, side, s in zip(keep, (old, new), spans, strict=True):
         left = dict(moved)
         for i in s:

@@ -14,28 +14,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.functions.vectors import let
+
 # Verbs by what they mean for a repair, words of absence and failure, words without content, dependencies of objects.
-VERB_GROUPS = {
-    "add": "add introduce append insert include create implement define register enable inject",
-    "remove": "remove delete drop strip eliminate purge disable deprecate",
-    "replace": "replace swap substitute rename convert migrate",
-    "fix": "fix resolve correct repair patch address mitigate",
-    "change": "change modify adjust alter refactor rewrite rework restructure",
-    "update": "update upgrade bump refresh",
-    "validate": "validate check verify ensure confirm test assert guard enforce restrict limit",
-    "sanitize": "sanitize escape encode filter normalize canonicalize",
-    "handle": "handle support process parse catch avoid prevent",
-    "raise": "raise throw",
-    "depend": "rely depend require",
-}
+VERBS = {
+    "add": "add", "introduce": "add", "append": "add", "insert": "add", "include": "add", "create": "add", "implement": "add", "define": "add", "register": "add", "enable": "add", "inject": "add",
+    "remove": "remove", "delete": "remove", "drop": "remove", "strip": "remove", "eliminate": "remove", "purge": "remove", "disable": "remove", "deprecate": "remove",
+    "replace": "replace", "swap": "replace", "substitute": "replace", "rename": "replace", "convert": "replace", "migrate": "replace",
+    "fix": "fix", "resolve": "fix", "correct": "fix", "repair": "fix", "patch": "fix", "address": "fix", "mitigate": "fix",
+    "change": "change", "modify": "change", "adjust": "change", "alter": "change", "refactor": "change", "rewrite": "change", "rework": "change", "restructure": "change",
+    "update": "update", "upgrade": "update", "bump": "update", "refresh": "update",
+    "validate": "validate", "check": "validate", "verify": "validate", "ensure": "validate", "confirm": "validate", "test": "validate", "assert": "validate", "guard": "validate", "enforce": "validate", "restrict": "validate", "limit": "validate",
+    "sanitize": "sanitize", "escape": "sanitize", "encode": "sanitize", "filter": "sanitize", "normalize": "sanitize", "canonicalize": "sanitize",
+    "handle": "handle", "support": "handle", "process": "handle", "parse": "handle", "catch": "handle", "avoid": "handle", "prevent": "handle",
+    "raise": "raise", "throw": "raise",
+    "rely": "depend", "depend": "depend", "require": "depend",
+}
 NEGATIVE = (
-    "no not none without lack absent non never miss missing omit omitted omission ignore ignored fail failed failure wrong incorrect invalid inconsistent unexpected broken incomplete insufficient improper mismatch "
-    "unable unhandled unrecognized unsupported nonexistent undefined null unsafe unescaped uninitialized unsanitized unchecked unvalidated"
-).split()
-ARTICLES = "a an the".split()
-EMPTY_WORDS = "this that these those some any new old proper appropriate various".split()
-OBJECT_DEPS = "dobj iobj pobj nsubjpass".split()
-EXTENSIONS = ".py .js .ts .java .c .cc .cpp .h .hpp .rs .go".split()
+    "no", "not", "none", "without", "lack", "absent", "non", "never", "miss", "missing", "omit", "omitted", "omission", "ignore", "ignored", "fail", "failed", "failure", "wrong", "incorrect", "invalid",
+    "inconsistent", "unexpected", "broken", "incomplete", "insufficient", "improper", "mismatch", "unable", "unhandled", "unrecognized", "unsupported", "nonexistent", "undefined", "null", "unsafe",
+    "unescaped", "uninitialized", "unsanitized", "unchecked", "unvalidated",
+)
+ARTICLES = (
+    "a", "an", "the",
+)
+EMPTY_WORDS = (
+    "this", "that", "these", "those", "some", "any", "new", "old", "proper", "appropriate", "various",
+)
+OBJECT_DEPS = (
+    "dobj", "iobj", "pobj", "nsubjpass",
+)
+EXTENSIONS = (
+    ".py", ".js", ".ts", ".java", ".c", ".cc", ".cpp", ".h", ".hpp", ".rs", ".go",
+)
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:
@@ -44,17 +55,27 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
     return F.when(n == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+def numbered(words: Column) -> Column:
+    """Each word with its number among equal ones, so that an array with repeats is a set. Sorted, so not quadratic."""
+
+    def tally(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        sizes = let(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda x, y: y - x))
+        runs = F.arrays_zip(F.array_distinct(s).alias("word"), sizes.alias("n"))
+        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.struct(r["word"].alias("word"), k.alias("k")))))
+
+    empty = F.array().cast("array<struct<word:string,k:int>>")
+    return F.when(F.size(words) > 0, let(F.sort_array(words), tally)).otherwise(empty)
+
+
 def multiset_jaccard(a: Column, b: Column, empty: float) -> Column:
-    """Overlap of two arrays with repeats: the sum of the lesser counts over the sum of the greater."""
-    every = F.array_distinct(F.concat(a, b))
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    total = lambda f: F.aggregate(F.transform(every, lambda x: f(count(a, x), count(b, x))), F.lit(0), lambda p, q: p + q)
-    return F.when(F.size(every) == 0, F.lit(empty)).otherwise(total(F.least) / total(F.greatest))
+    """Overlap of two arrays of strings with repeats: the sum of the lesser counts over the sum of the greater."""
+    return let(F.struct(numbered(a).alias("a"), numbered(b).alias("b")), lambda x: jaccard(x["a"], x["b"], empty))
 
 
 def canonical_verb(lemma: Column) -> Column:
     """The group of a verb; verbs of no group stay, in lower case."""
-    pairs = [F.lit(x) for group, words in VERB_GROUPS.items() for w in words.split() for x in (w, group)]
+    pairs = [F.lit(x) for pair in VERBS.items() for x in pair]
     low = F.lower(F.trim(lemma))
     return F.coalesce(F.try_element_at(F.create_map(*pairs), low), low)
 

@@ -11,6 +11,11 @@ ERROR_WORDS = "bug|error|issue|problem|bug report|error report|issue report"
 CLOSING_WORDS = r"close[sd]?|fix(?:e[sd])?|resolve[sd]?"
 #: Sections of a keyword answer, in order. Fixed value.
 KEYWORD_SECTIONS = ("problem_behaviors", "error_patterns", "code_elements", "domain_context")
+#: Parts of an error text after which a transfer is worth another try. Fixed values.
+RETRY_PHRASES = ("gnutls recv error", "early eof", "connection timed out", "invalid index-pack", "unexpected disconnect while reading sideband packet", "error in the pull function", "exit status 128")
+#: Headings and markers of prompts and answers. Fixed values.
+ISSUE_HEADING, CODE_HEADING, CAUSE_HEADING, REPAIR_HEADING = "# GitHub Issue Description:\n", "# Segments Groups:\n", "# Root Cause:\n", "# Repair Suggestion:\n"
+TURN_BEGINS, TURN_ENDS = "<|im_start|>", "<|im_end|>"
 
 
 def col(c: str | Column) -> Column:
@@ -52,17 +57,29 @@ def good_body(c: str | Column, least: int = 100) -> Column:
 
 
 def docs_only(files: Column) -> Column:
-    """Whether all files of an array of paths are documents; true for no files."""
-    return F.forall(files, lambda f: F.lower(f).rlike(r"\.(md|rst|txt|adoc|docx|doc|pdf)$") | F.startswith(F.lower(f), F.lit("docs/")) | F.contains(F.lower(f), F.lit("/docs/")))
+    """Whether all files of an array of paths are documents; true for no files and for null."""
+    return F.forall(F.coalesce(files, F.array().cast("array<string>")), lambda f: F.lower(f).rlike(r"\.(md|rst|txt|adoc|docx|doc|pdf)$") | F.startswith(F.lower(f), F.lit("docs/")) | F.contains(F.lower(f), F.lit("/docs/")))
 
 
 def code_changes(files: Column, least: int = 2, additions: int = 5, deletions: int = 3) -> Column:
-    """Whether at least `least` Python files (structs of path, additions, deletions) changed that much."""
-    ok = F.filter(files, lambda f: F.endswith(f["path"], F.lit(".py")) & (f["additions"] >= additions) & (f["deletions"] >= deletions))
-    return F.size(ok) >= least
+    """Whether at least `least` Python files (structs of path, additions, deletions) changed that much; false for null."""
+    ok = F.filter(files, lambda f: F.endswith(F.lower(f["path"]), F.lit(".py")) & (f["additions"] >= additions) & (f["deletions"] >= deletions))
+    return F.coalesce(F.size(ok) >= least, F.lit(False))
 
 
-def retryable(message: str | Column, phrases: list[str]) -> Column:
+def large_and_starred(body_length: str, star: str, longer: int = 100, stars: int = 30) -> Column:
+    """A body longer than `longer` in a repository with at least `stars` stars; null and what is no number count as 0 or fail."""
+    n, m = (F.coalesce(F.col(c), F.lit(0)).cast("string").try_cast("long") for c in (body_length, star))
+    return F.coalesce((n > longer) & (m >= stars), F.lit(False))
+
+
+def judgement_state(judgement: str, score1: str, score2: str) -> Column:
+    """`invalid` without a verdict or with a score that is null, NaN or beyond 0 and 1; `zero` where both scores are 0; else `valid`."""
+    ok = F.col(judgement).isNotNull() & F.col(score1).between(0, 1) & F.col(score2).between(0, 1)
+    return F.when(~F.coalesce(ok, F.lit(False)), "invalid").when((F.col(score1) == 0) & (F.col(score2) == 0), "zero").otherwise("valid")
+
+
+def retryable(message: str | Column, phrases: tuple[str, ...] = RETRY_PHRASES) -> Column:
     """Whether an error text has one of the phrases, in any case; null has none."""
     low = F.lower(F.coalesce(col(message), F.lit("")))
     return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(low, p))
@@ -89,6 +106,11 @@ def tiered_trim(c: str | Column) -> Column:
     return F.substring(col(c), F.lit(1), tiered_length(F.char_length(col(c))).cast("int"))
 
 
+def head_cut(c: str | Column, most: int = 16_000) -> Column:
+    """The first `most` characters of a text."""
+    return F.substring(col(c), 1, most)
+
+
 def middle_elided(c: str | Column, most: int = 10_000, half: int = 5_000) -> Column:
     """struct(head, tail, elided): the whole text as head below `most` characters, else both ends and how much is left out."""
     n = F.char_length(col(c))
@@ -148,8 +170,8 @@ def iso_timestamp(c: str | Column) -> Column:
     """A timestamp without zone from the ISO spellings of dates and times; null for what is none. Offsets are applied."""
     t = full_trim(c)
     day = F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))
-    full = F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ssxxx"))
-    plain = F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    full = F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx"))
+    plain = F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
     return F.coalesce(full, plain, day)
 
 
@@ -192,13 +214,24 @@ def message_content(line: str | Column) -> Column:
     return F.coalesce(F.nullif(inner, F.lit("")), F.get_json_object(col(line), "$.content"))
 
 
-def last_message(lines: Column) -> Column:
-    """The text of the last assistant message among JSON lines of events; content may be a text or a list of parts."""
-    said = F.filter(lines, lambda x: F.get_json_object(x, "$.role") == "assistant")
-    last = F.try_element_at(said, F.lit(-1))
-    content = F.get_json_object(last, "$.content")
-    parts = F.from_json(content, "array<struct<text:string>>")
-    return F.when(F.startswith(content, F.lit("[")), F.array_join(F.transform(parts, lambda p: p["text"]), "")).otherwise(content)
+def last_message(events: Column) -> Column:
+    """The text of the last assistant message among JSON lines of events: of items that began or ended and are a message, what
+    their text, else their content, says; content may be a list of texts and of objects with a text. Null if there is none."""
+
+    def said(x: Column) -> Column:
+        at = lambda p: F.get_json_object(x, p)
+        mine = at("$.type").isin("item.completed", "item.started") & F.coalesce(F.nullif(at("$.item.type"), F.lit("")), at("$.item.item_type")).isin("assistant_message", "agent_message")
+        content = F.coalesce(F.nullif(at("$.item.text"), F.lit("")), at("$.item.content"))
+        parts = F.transform(F.from_json(content, "array<string>"), lambda p: F.when(F.startswith(p, F.lit("{")), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
+        return F.when(mine, F.nullif(F.when(F.startswith(content, F.lit("[")) & parts.isNotNull(), F.array_join(parts, "")).otherwise(content), F.lit("")))
+
+    return F.try_element_at(F.filter(F.transform(events, said), lambda x: x.isNotNull()), F.lit(-1))
+
+
+def usage_limited(events: Column) -> Column:
+    """Whether an event is an error that names a usage limit, after which no more is to be asked."""
+    hit = lambda x: (F.get_json_object(x, "$.type") == "error") & F.contains(F.lower(F.get_json_object(x, "$.message")), F.lit("usage limit"))
+    return F.coalesce(F.exists(events, lambda x: F.coalesce(hit(x), F.lit(False))), F.lit(False))
 
 
 def tagged_section(c: str | Column, tag: str, to_end: bool = False) -> Column:
@@ -237,10 +270,10 @@ def headed_sections(c: str | Column) -> Column:
 
 
 def guidance(c: str | Column) -> Column:
-    """Guidance with plain line ends, without fences, and with its two headings renamed."""
-    t = F.regexp_replace(F.regexp_replace(col(c), r"\r\n?", "\n"), r"(?m)^\s*```\w*\s*$\n?", "")
-    t = F.regexp_replace(t, r"(?im)^#+ *root cause:?[ \t]*$", "[Root Cause]")
-    return full_trim(F.regexp_replace(t, r"(?im)^#+ *repair suggestion:?[ \t]*$", "[Repair Suggestion]"))
+    """Guidance with plain line ends, without the marks of fences, and with its two headings as labels; null gives an empty text."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\r\n?", "\n"), "```", "")
+    t = F.regexp_replace(t, r"(?imd)^\s*#\s*root\s*cause\s*$", "ROOT_CAUSE:")
+    return full_trim(F.regexp_replace(t, r"(?imd)^\s*#\s*repair\s*suggestion\s*$", "REPAIR_SUGGESTION:"))
 
 
 def valid_answer(rc: str, rs: str, least: int = 20) -> Column:
@@ -248,22 +281,37 @@ def valid_answer(rc: str, rs: str, least: int = 20) -> Column:
 
 
 # prompts -----------------------------------------------------------------------------------------------------------------------
-def formatted_segments(segments: Column, supplementary: bool = True) -> Column:
-    """Segments as text: a numbered header, each part's file and its fenced content; groups apart by a blank line."""
+def right_trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\s\x{85}\p{Z}]+$", "")
+
+
+def formatted_segments(segments: Column, supplementary: bool = True, only_present: bool = False) -> Column:
+    """Segments as text: each under a numbered header, the file and the fenced content of its suspicious part and, if asked for, of
+    its supplementary part (with `only_present` not where that has neither file nor content). Every segment ends with an empty line."""
 
     def part(title: str, p: Column) -> Column:
-        body = F.concat(F.lit(f"[{title}] "), F.coalesce(p["file"], F.lit("")), F.lit("\n```\n"), F.regexp_replace(F.coalesce(p["content"], F.lit("")), r"\s+$", ""), F.lit("\n```"))
-        return F.when(F.coalesce(p["content"], F.lit("")) != "", body)
+        return F.concat(F.lit(f"[{title}] file: "), F.coalesce(p["file"], F.lit("")), F.lit("\n```\n"), right_trim(F.coalesce(p["content"], F.lit(""))), F.lit("\n```"))
 
     def one(s: Column, i: Column) -> Column:
-        extra = [part("supplementary", s["supplementary"])] if supplementary else []
-        return F.concat_ws("\n", F.concat(F.lit("### Segment "), (i + 1).cast("string")), part("suspicious", s["suspicious"]), *extra)
+        extra = []
+        if supplementary:
+            p = s["supplementary"]
+            there = (F.coalesce(p["file"], F.lit("")) != "") | (F.coalesce(p["content"], F.lit("")) != "")
+            extra = [F.when(there, part("Supplementary", p)) if only_present else part("Supplementary", p)]
+        return F.concat_ws("\n", F.concat(F.lit("--- Segment Group "), (i + 1).cast("string"), F.lit(" ---")), part("Suspicious", s["suspicious"]), *extra, F.lit(""))
+
+    return F.coalesce(F.array_join(F.transform(segments, one), "\n"), F.lit(""))
 
-    return F.coalesce(F.array_join(F.transform(segments, one), "\n\n"), F.lit(""))
 
+def task_context(issue: Column, code: Column) -> Column:
+    """Issue and code under their headings; nulls as empty texts."""
+    return F.concat(F.lit(ISSUE_HEADING), F.coalesce(issue, F.lit("")), F.lit("\n\n" + CODE_HEADING), F.coalesce(code, F.lit("")))
 
-def analysis_prompt(issue: Column, slice_: Column) -> Column:
-    return F.concat(F.lit("[ISSUE]\n"), F.coalesce(issue, F.lit("")), F.lit("\n\n[SLICE]\n"), F.coalesce(slice_, F.lit("")), F.lit("\n\n[TASK]\nName the root cause and suggest a repair.\n"))
+
+def analysis_prompt(issue: Column, code: Column, role: str, given: str, task: str, template: str) -> Column:
+    """What an evaluated model is asked: its role, what it is given, its task, issue and code, and the template of the answer, each
+    apart by an empty line. The wording is up to the caller."""
+    return F.concat(F.lit(f"\n{role}\n\n{given}\n\nPerform the following Task:\n{task}\n\n"), task_context(issue, code), F.lit(f"\n\n{template}\n"))
 
 
 def _fields(ends: str, *named: tuple[str, Column]) -> Column:
@@ -273,25 +321,25 @@ def _fields(ends: str, *named: tuple[str, Column]) -> Column:
 
 def reasoning_prompt(issue: Column, segments: Column) -> Column:
     """What the first analysis is asked with: the issue and its segments."""
-    return F.concat(_fields("\n\n", ("Issue", issue)), F.lit("Segments:\n"), formatted_segments(segments))
+    return F.concat(_fields("\n\n", ("Issue Description", issue)), F.lit("Segment Groups:\n"), formatted_segments(segments))
 
 
 def judge_prompt(issue: Column, cause: Column, removed: Column, added: Column) -> Column:
     """What a judge of a root cause is given: the issue, the cause, and both sides of the diff."""
-    return F.concat(_fields("\n\n", ("Issue", issue), ("Root cause", cause), ("Removed", removed)), _fields("\n", ("Added", added)))
+    return F.concat(_fields("\n\n", ("Issue Description", issue), ("Root Cause", cause), ("diff_remove", removed)), _fields("\n", ("diff_add", added)))
 
 
 def refine_prompt(issue: Column, removed: Column, added: Column, cause: Column, reasoning: Column, repair: Column) -> Column:
     """What a rejected answer is refined with: the issue, both sides of the diff, the answer, and the judge's reasoning."""
-    return _fields("\n", ("Issue", issue), ("Removed", removed), ("Added", added), ("Root cause", cause), ("Reasoning", reasoning), ("Repair suggestion", repair))
+    return _fields("\n", ("Issue Description", issue), ("diff_remove", removed), ("diff_add", added), ("root_cause", cause), ("gemini_reasoning", reasoning), ("repair_suggestion", repair))
 
 
-def guidance_prompt(issue: Column, code: Column) -> Column:
+def guidance_prompt(issue: Column, code: Column, instruction: str) -> Column:
     """What guidance is asked with; parts end in the two characters backslash and n. An error text if issue or code is blank."""
     end = F.lit("\\n")
-    parts = (F.lit("Given an issue and groups of suspicious and supplementary code, name the root cause and suggest a repair."), F.lit("# Issue:"), issue, F.lit("# Segments:"), code)
+    parts = (F.lit(instruction), F.lit(ISSUE_HEADING.strip()), issue, F.lit(CODE_HEADING.strip()), code)
     ok = present(issue).isNotNull() & present(code).isNotNull()
-    return F.when(ok, F.concat(*[x for p in parts for x in (p, end)])).otherwise("the prompt can't be built")
+    return F.when(ok, F.concat(*[x for p in parts for x in (p, end)])).otherwise("user prompt build error")
 
 
 def chat_request(key: Column, number: Column, model: str, system: str, user: Column, temperature: float = 0.2, top_p: float = 0.9, max_tokens: int = 1024) -> Column:
@@ -303,13 +351,20 @@ def chat_request(key: Column, number: Column, model: str, system: str, user: Col
     return F.struct(F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("req-"), number.cast("string"))).alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
 
 
-def task_rows(problem: Column, slice_: Column, win_rc: Column, win_rs: Column, lose_rc: Column, lose_rs: Column) -> Column:
-    """The three training tasks of a row: A both answers, B the root cause, C the repair given the cause. array of structs."""
-    ask = lambda what, extra: F.concat(F.lit("<|user|>\n"), problem, F.lit("\n\n"), slice_, extra, F.lit(f"\n\n{what}\n<|assistant|>\n"))
-    both = lambda a, b: F.concat(F.lit("# Root Cause:\n"), a, F.lit("\n\n# Repair Suggestion:\n"), b)
-    row = lambda task, i, w, l: F.struct(F.lit(task).alias("task"), i.alias("input"), w.alias("win"), l.alias("lose"))
-    return F.array(
-        row("A", ask("Give root cause and repair.", F.lit("")), both(win_rc, win_rs), both(lose_rc, lose_rs)),
-        row("B", ask("Give the root cause.", F.lit("")), win_rc, lose_rc),
-        row("C", ask("Give the repair.", F.concat(F.lit("\n\nRoot cause: "), win_rc)), win_rs, lose_rs),
-    )
+def task_rows(problem: Column, code: Column, win_rc: Column, win_rs: Column, lose_rc: Column, lose_rs: Column, role: str, given: str, tasks: dict[str, str]) -> Column:
+    """The three training tasks of a row: A the root cause, B the repair given the winning cause, C both. array of structs.
+
+    `role`, `given` and `tasks` (the instruction of each) are the caller's wording. Answers are trimmed and end the turn.
+    """
+    texts = {k: full_trim(F.coalesce(c, F.lit(""))) for k, c in (("win_rc", win_rc), ("win_rs", win_rs), ("lose_rc", lose_rc), ("lose_rs", lose_rs))}
+
+    def ask(task: str) -> Column:
+        head = f"{TURN_BEGINS}system\n{role}\n{TURN_ENDS}\n{TURN_BEGINS}user\n{given}\n\nPerform the following Task:\n{tasks[task]}\n\n"
+        cause = [F.lit("\n\n" + CAUSE_HEADING), F.coalesce(win_rc, F.lit(""))] if task == "B" else []
+        return F.concat(F.lit(head), task_context(problem, code), *cause, F.lit(f"\n\n{TURN_ENDS}\n{TURN_BEGINS}assistant\n"))
+
+    def answer(task: str, side: str) -> Column:
+        rc, rs = [F.lit(CAUSE_HEADING), texts[f"{side}_rc"]], [F.lit(REPAIR_HEADING), texts[f"{side}_rs"]]
+        return F.concat(*{"A": rc, "B": rs, "C": [*rc, F.lit("\n\n"), *rs]}[task], F.lit(TURN_ENDS))
+
+    return F.array(*[F.struct(F.lit(t).alias("task"), ask(t).alias("input"), answer(t, "win").alias("win"), answer(t, "lose").alias("lose")) for t in "ABC"])

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once: within a lambda function an outer expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
@@ -27,7 +34,7 @@ def softmax(xs: Column, beta: float = 1.0) -> Column:
     """Weights exp(x / beta), shifted by the largest, that sum to 1; an empty array for none."""
     top = F.array_max(xs)
     e = F.transform(xs, lambda x: F.exp((x - top) / beta))
-    return F.transform(e, lambda x: x / _sum(e))
+    return let(_sum(e), lambda total: F.transform(e, lambda x: x / total))
 
 
 def adaptive_beta(xs: Column) -> Column:
@@ -41,8 +48,10 @@ def pooled_similarity(sims: Column, beta: float = 1.0) -> Column:
 
 
 def weighted_sum(vectors: Column, weights: Column, dims: int) -> Column:
-    """The sum of vectors by weights, dimension by dimension."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: _sum(F.zip_with(vectors, weights, lambda v, w: doubles(v)[d] * w)))
+    """The sum of the first `dims` dimensions of vectors by weights; each vector is read once. Zeros for no vectors."""
+    zero = F.array_repeat(F.lit(0.0), dims)
+    pairs = F.zip_with(vectors, weights, lambda v, w: F.struct(F.slice(doubles(v), 1, dims).alias("v"), w.alias("w")))
+    return F.aggregate(pairs, zero, lambda acc, p: F.zip_with(acc, p["v"], lambda a, x: a + x * p["w"]))
 
 
 def beta_lookup(scores: Column, beta: float = 1.0) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewright.functions.vectors import let
 from sievewright.session import materialize
 
 #: A side may be broadcast when the optimizer estimates at most so many bytes for it; beyond that a shuffle join is used.
@@ -87,13 +88,13 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     order; an empty frame stays empty.
     """
     spread = df.repartitionByRange(*[F.col(o) for o in order]).sortWithinPartitions(*order)
-    ranged = materialize(spread.withColumn("__place", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("__place", 33)  # the upper bits of such an id are the range's number, the lower ones the row's within it
+    ranged = materialize(spread.withColumn("__range_row", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__range_row", 33)  # the upper bits of such an id are the range's number, the lower ones the row's within it
     sizes = ranged.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__range", F.coalesce(F.sum("__size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.col("__range_row").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = ranged.withColumn("__range", part).join(F.broadcast(before), "__range")  # one row for each range
-    return numbered.withColumn(name, place + F.col("__before") + 1).drop("__range", "__place", "__before")
+    return numbered.withColumn(name, place + F.col("__before") + 1).drop("__range", "__range_row", "__before")
 
 
 def row_slice(df: DataFrame, start: int | None = None, count: int | None = None, order: str = "idx") -> DataFrame:
@@ -108,15 +109,17 @@ def missing_ids(wanted: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")
 
 
-def keyword_combinations(sections: list[Column], most: int = 15, caps: tuple[int, int, int, int] = (3, 5, 4, 8)) -> Column:
+def keyword_combinations(sections: list[Column], most: int = 15) -> Column:
     """Search keyword sets from four lists (behaviours p, errors e, code c, domain d), strategies in order, without repeats.
 
-    Strategies: p with e and c; p with d and e; p with c and d; each p with each other alone; p alone. A set that is the same
-    as an earlier one, whatever its order and case, is dropped; at most `most` are kept. array<array<string>>.
+    Strategies, each with the first so many of its lists: 3 p with 4 e and 3 c; 3 p with 4 d and 3 e; 3 p with 4 c and 3 d; 4 p with
+    one of the first 8 of e, c and d laid end to end; 5 p alone. A set that is the same as an earlier one, whatever its order and
+    case, is dropped; the first `most` are kept. Null lists are empty ones. array<array<string>>.
     """
     from sievewright.functions.text import keyword_signature
 
-    p, e, c, d = (F.slice(F.coalesce(s, F.array().cast("array<string>")), 1, n) for s, n in zip(sections, caps, strict=True))
+    p, e, c, d = (F.coalesce(s, F.array().cast("array<string>")) for s in sections)
+    first = lambda xs, n: F.slice(xs, 1, n)
 
     def extended(sets: Column, other: Column) -> Column:
         return F.flatten(F.transform(sets, lambda have: F.transform(other, lambda x: F.concat(have, F.array(x)))))
@@ -124,7 +127,9 @@ def keyword_combinations(sections: list[Column], most: int = 15, caps: tuple[int
     def crossed(*lists: Column) -> Column:
         return reduce(extended, lists[1:], F.transform(lists[0], lambda x: F.array(x)))
 
-    every = F.concat(crossed(p, e, c), crossed(p, d, e), crossed(p, c, d), crossed(p, e), crossed(p, c), crossed(p, d), crossed(p))
+    every = F.concat(
+        crossed(first(p, 3), first(e, 4), first(c, 3)), crossed(first(p, 3), first(d, 4), first(e, 3)), crossed(first(p, 3), first(c, 4), first(d, 3)), crossed(first(p, 4), first(F.concat(e, c, d), 8)), crossed(first(p, 5))
+    )
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<array<string>>").alias("got"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -135,8 +140,10 @@ def keyword_combinations(sections: list[Column], most: int = 15, caps: tuple[int
 
 
 def first_by_key(items: Column, key: str) -> Column:
-    """An array of structs without those whose key came before, in order."""
-    return F.filter(items, lambda x, i: F.array_position(F.transform(items, lambda y: y[key]), x[key]) == i + 1)
+    """An array of structs without those whose key came before, in order; null keys are left out. Sorted, so not quadratic."""
+    places = F.filter(F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"))), lambda y: y["k"].isNotNull())
+    firsts = let(F.sort_array(places), lambda s: F.filter(s, lambda y, j: (j == 0) | (y["k"] != F.get(s, j - 1)["k"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda y: y["i"])), lambda i: F.get(items, i))
 
 
 def memoized(df: DataFrame, keys: list[str], fetched: DataFrame) -> DataFrame:
@@ -165,11 +172,11 @@ def castable(df: DataFrame, columns: list[str], kind: str = "double") -> DataFra
     return out.dropna(subset=columns)
 
 
-def run_summary(df: DataFrame, ok: Column, amount: str, key: str, most_failures: int = 1000) -> DataFrame:
-    """One row: rows, good rows, the sum of an amount, and the least keys of failed rows, at most `most_failures` of them."""
-    failed = df.filter(~F.coalesce(ok, F.lit(False))).select(key).orderBy(key).limit(most_failures).agg(F.sort_array(F.collect_list(key)))
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_ok"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
-    return counts.withColumn("failures", failed.scalar())
+def run_summary(df: DataFrame, ok: Column, amount: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """One row of rows, good rows and the sum of an amount; and the keys of all failed rows, a table of their own however many."""
+    good = F.coalesce(ok, F.lit(False))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_ok"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
+    return counts, df.filter(~good).select(key)
 
 
 def positional_slices(items: Column, lengths: list[Column]) -> list[Column]:

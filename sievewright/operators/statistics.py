@@ -63,17 +63,20 @@ def precision_threshold(df: DataFrame, groups: list[str], label: str, score: str
     return s.groupBy(*groups).agg(F.min("threshold").alias("threshold"), F.min_by("n_selected", "threshold").alias("n_selected"), F.min_by("precision", "threshold").alias("precision"))
 
 
-def cross_validated_threshold(df: DataFrame, fold: str, label: str, score: str, folds: int = 5, target: float = 0.8, least: int = 1) -> DataFrame:
-    """One row: the mean of the folds' thresholds, each found on the other folds, and the mean precision on the fold itself.
+def cross_validated_threshold(df: DataFrame, fold: str, label: str, score: str, folds: int = 5, target: float = 0.8, least: int = 1, combine: str = "mean") -> DataFrame:
+    """One row: the mean (or with `combine="max"` the largest) of the folds' thresholds, each found on the other folds, and the mean
+    precision on the fold itself.
 
     Null where a fold finds no threshold or there are fewer rows than folds; a fold that selects nothing counts 0.0.
     """
+    if combine not in ("mean", "max"):
+        raise ValueError(f"unknown way to combine: {combine!r}")
     rest = df.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col(fold))))
     per = precision_threshold(rest, ["held"], label, score, target, least).select("held", "threshold")
     check = df.join(F.broadcast(per), F.col("held") == F.col(fold)).groupBy("held", "threshold").agg(
         F.count_if(F.col(score) >= F.col("threshold")).alias("n"), F.count_if((F.col(score) >= F.col("threshold")) & F.col(label)).alias("c")
     )
-    out = check.agg(F.count(F.lit(1)).alias("found"), F.avg("threshold").alias("t"), F.avg(F.coalesce(F.col("c") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))).alias("p"))
+    out = check.agg(F.count(F.lit(1)).alias("found"), (F.avg if combine == "mean" else F.max)("threshold").alias("t"), F.avg(F.coalesce(F.col("c") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))).alias("p"))
     out = out.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
     ok = (F.col("found") == folds) & (F.col("rows") >= folds)
     return out.select(F.col("found").alias("n_folds"), F.when(ok, F.col("t")).alias("threshold"), F.when(ok, F.col("p")).alias("precision"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import present
-from sievewright.functions.vectors import odds_ratio_loss
+from sievewright.functions.vectors import log_odds, odds_ratio_loss
 
 FIELDS = ("problem", "slice", "win_rc", "win_rs", "lose_rc", "lose_rs")
 
@@ -135,11 +135,15 @@ def tokenized(input_: str, output: str, most: int, encode: Callable[[str], list[
     return run(input_, output)
 
 
-def preference_losses(df: DataFrame, tag: str, win: str, lose: str, beta: float = 1.0, weight: float = 0.1) -> DataFrame:
-    """`sft_loss` (minus the mean log-probability of the winner), `ratio_loss` (0 for supervised rows) and `margin`."""
-    orpo = tag_of(tag) == "ORPO"
-    ratio = F.when(orpo & F.col(lose).isNotNull(), odds_ratio_loss(F.col(win), F.col(lose), beta)).otherwise(0.0)
-    return df.withColumn("sft_loss", -F.col(win)).withColumn("ratio_loss", ratio).withColumn("margin", F.when(orpo, F.col(win) - F.col(lose)))
+def preference_losses(df: DataFrame, tag: str, win: str, lose: str, beta: float = 1.0) -> DataFrame:
+    """`sft_loss` (minus the mean log-probability of the winner), `ratio_loss` (0 for supervised rows), and for preference rows
+    `margin`, `chosen`, `rejected` (the log-probabilities) and `log_odds` (the difference of the log-odds)."""
+    orpo = (tag_of(tag) == "ORPO") & F.col(lose).isNotNull()
+    ratio = F.when(orpo, odds_ratio_loss(F.col(win), F.col(lose), beta)).otherwise(0.0)
+    only = lambda c: F.when(orpo, c)
+    return df.withColumn("sft_loss", -F.col(win)).withColumns(
+        {"ratio_loss": ratio, "margin": only(F.col(win) - F.col(lose)), "chosen": only(F.col(win)), "rejected": only(F.col(lose)), "log_odds": only(log_odds(F.col(win)) - log_odds(F.col(lose)))}
+    )
 
 
 def loss_report(df: DataFrame, group: str, tag: str, weight: float = 0.1) -> DataFrame:
@@ -150,3 +154,27 @@ def loss_report(df: DataFrame, group: str, tag: str, weight: float = 0.1) -> Dat
         n.alias("n"), F.count_if(orpo).alias("n_orpo"), (F.sum("sft_loss") / n).alias("sft_loss"), (F.sum("ratio_loss") / n).alias("ratio_loss"),
         ((F.sum("sft_loss") + weight * F.sum("ratio_loss")) / n).alias("total_loss"), (F.count_if(orpo & (F.col("margin") > 0)) / F.nullif(F.count_if(orpo), F.lit(0))).alias("accuracy"), F.avg("margin").alias("margin"),
     )
+
+
+def task_loss_report(df: DataFrame, task: str, weight: float = 0.1) -> DataFrame:
+    """The roll-up of `preference_losses` over training tasks: a row for each task, and one with task `all`.
+
+    n, n_orpo (preference rows), sft_loss and ratio_loss (both over all rows of the task), total_loss (the first plus `weight` times
+    the second). In the row `all` the losses are the means of the tasks' own, whatever their sizes, and accuracy, margin, chosen,
+    rejected and log_odds are over the preference rows of all tasks (0.0 without any); they are null for single tasks. Null tasks
+    are a task. An empty table gives the row `all` with zeros.
+    """
+    n = F.count(F.lit(1))
+    per = df.groupBy(F.col(task).cast("string").alias("task")).agg(
+        n.alias("n"), F.count("margin").alias("n_orpo"), (F.sum("sft_loss") / n).alias("sft_loss"), (F.sum("ratio_loss") / n).alias("ratio_loss"),
+        F.count_if(F.col("margin") > 0).alias("__wins"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"__{c}") for c in ("margin", "chosen", "rejected", "log_odds")],
+    )
+    zero = F.lit(0.0)
+    rate = lambda c: F.coalesce(F.sum(c) / F.nullif(F.sum("n_orpo"), F.lit(0)), zero)
+    every = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.sum("n_orpo"), F.lit(0).cast("long")).alias("n_orpo"), F.coalesce(F.avg("sft_loss"), zero).alias("sft_loss"), F.coalesce(F.avg("ratio_loss"), zero).alias("ratio_loss"),
+        rate("__wins").alias("accuracy"), *[rate(f"__{c}").alias(c) for c in ("margin", "chosen", "rejected", "log_odds")],
+    ).withColumn("task", F.lit("all"))
+    none = F.lit(None).cast("double")
+    tasks = per.select("task", "n", "n_orpo", "sft_loss", "ratio_loss", *[none.alias(c) for c in ("accuracy", "margin", "chosen", "rejected", "log_odds")])
+    return tasks.unionByName(every).withColumn("total_loss", F.col("sft_loss") + weight * F.col("ratio_loss"))

@@ -18,11 +18,14 @@ from sievewright.sources.exchange import answered
 from sievewright.sources.records import conformed, nested_metrics
 
 
-def prepare_prompts(tasks: DataFrame, model: str, system: str, limit: int = 0, **options) -> DataFrame:
-    """custom_id and line (JSON) of a chat request for each failed task with a text."""
-    rows = tasks.filter(t.is_failed_with_text("status", "problem_statement")).withColumn("__n", F.monotonically_increasing_id())
-    q = rows.select(t.chat_request(F.col("instance_id"), F.col("__n"), model, system, F.col("problem_statement"), **options).alias("r"))
-    return r.first_n(q.select("r.custom_id", F.to_json("r").alias("line")), limit, ["custom_id"])
+def prepare_prompts(tasks: DataFrame, model: str, system: str, order: list[str], limit: int = 0, **options) -> DataFrame:
+    """custom_id and line (JSON) of a chat request for each failed task with a text, the first `limit` of them in input order.
+
+    `order` are the columns of that order (such as file and line_no); tasks without an id are named by their 1-based place in it.
+    """
+    rows = r.row_numbers(tasks.filter(t.is_failed_with_text("status", "problem_statement")), order, "__n")
+    rows = r.row_slice(rows, 1, limit, "__n") if limit else rows
+    return rows.select(t.chat_request(F.col("instance_id"), F.col("__n"), model, system, F.col("problem_statement"), **options).alias("r")).select("r.custom_id", F.to_json("r").alias("line"))
 
 
 def extract_keywords(requests: DataFrame, responses: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -52,17 +55,22 @@ def mine_issues(found: DataFrame, history: DataFrame | None = None, most: int =
     return conformed(ranked, "mined_issue", url=F.col("html_url"), comments_count=F.col("comments"))
 
 
-def merge_changes(changes: DataFrame, held_out: DataFrame, history: DataFrame, usable: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Kept changes, with only their Python diffs, and counts of why others weren't: no diff, held out, unusable, known, repeated."""
-    c = changes.withColumn("diff_content", d.python_blocks("diff_content")).withColumn("__id", F.monotonically_increasing_id())
-    from sievewright.session import materialize
+def merge_changes(changes: DataFrame, held_out: DataFrame, history: DataFrame, usable: Column, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Kept changes, with only their Python diffs, and counts of why others weren't: no diff, held out, unusable, known, repeated.
 
-    c = materialize(c, "changes")  # the numbers must not change between the joins below
-    mark = lambda name, other, ks: r.first_wins(other.select(*ks), ks, ks).withColumn(name, F.lit(True))
+    A change is repeated if one with the same keys that has none of the other reasons comes before it by `order`, a total order.
+    """
+    c = changes.withColumn("diff_content", d.python_blocks("diff_content"))
+    mark = lambda name, other, ks: other.select(*ks).dropna().distinct().withColumn(name, F.lit(True))
     j = c.join(mark("__held", held_out, keys[:2]), keys[:2], "left").join(mark("__known", history, keys), keys, "left")
-    j = j.join(c.groupBy(*keys).agg(F.min("__id").alias("__first")), keys, "left")
-    j = r.with_reason(j, [("empty_diff", t.present("diff_content").isNull()), ("held_out", F.col("__held")), ("unusable", ~F.coalesce(usable, F.lit(False))), ("known", F.col("__known")), ("repeated", F.col("__id") > F.col("__first"))])
-    return j.filter("reason = 'kept'").drop("__id", "__held", "__known", "__first", "reason"), r.reason_counts(j)
+    j = r.with_reason(j, [("empty_diff", t.present("diff_content").isNull()), ("held_out", F.col("__held")), ("unusable", ~F.coalesce(usable, F.lit(False))), ("known", F.col("__known"))])
+    place = F.struct(*order)
+    first = j.filter("reason = 'kept'").groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(place).alias("__first"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & j[k].eqNullSafe(first[f"__k{i}"])
+    j = j.join(first, on, "left").withColumn("reason", F.when((F.col("reason") == "kept") & (place > F.col("__first")), "repeated").otherwise(F.col("reason")))
+    return j.filter("reason = 'kept'").select(*changes.columns), r.reason_counts(j)
 
 
 def read_generations(rows: DataFrame, text: str) -> DataFrame:
@@ -75,6 +83,19 @@ def read_judgements(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("__v", t.verdict(text)).withColumns({"judgement": F.col("__v.verdict"), "reasoning": F.col("__v.reason")}).drop("__v")
 
 
+def scored_rows(rows: DataFrame, baseline: float = 1.0) -> DataFrame:
+    """Rows with both scores by both methods (score1_a, score2_a, score1_b_by_beta, score2_b_by_beta) as scored records.
+
+    The scores stand under their record names, with whether method B at the baseline beta beats method A for each score (a beta
+    that a map lacks counts 0.0), and attempts_used, 1 where it isn't given.
+    """
+    b = lambda c: F.coalesce(v.beta_lookup(F.col(c), baseline), F.lit(0.0))
+    out = rows.withColumns({f"score{k}_B_vs_A_improved": b(f"score{k}_b_by_beta") > F.col(f"score{k}_a") for k in (1, 2)})
+    if "attempts_used" not in rows.columns:
+        out = out.withColumn("attempts_used", F.lit(1))
+    return out.withColumnsRenamed({"score1_a": "new_score1_A", "score2_a": "new_score2_A", "score1_b_by_beta": "new_score1_B_by_beta", "score2_b_by_beta": "new_score2_B_by_beta"})
+
+
 def score_inputs(rows: DataFrame, diff: str, mode: str = "full", headers: bool = False, budget: int = 16_000, as_list: bool = True) -> DataFrame:
     """new_diff and the chunks to embed, of changes and of code, within a budget; as lists or joined by blank lines."""
     out = rows.withColumn("new_diff", d.clean_diff(mode, headers)(diff))
@@ -95,17 +116,21 @@ def analyse(scored: DataFrame, labels: DataFrame, key: str, score: str, target:
     return {"auc": st.roc_auc(j, ["__all"], "label", score), "gap": st.class_gap(j, ["__all"], "label", score), "threshold": st.precision_threshold(j, ["__all"], "label", score, target), "scan": st.threshold_scan(j, ["__all"], "label", score)}
 
 
-def partition(new: DataFrame, old: DataFrame | None, threshold: float = 0.776, key: str = "index") -> DataFrame:
-    """Rows with score (the mean of both at beta 1) and fine_tuning; old rows take the place of new ones whole."""
+def partition(new: DataFrame, old: DataFrame | None, threshold: float = 0.776, key: str = "index", order: list[str] | None = None) -> DataFrame:
+    """Rows with score (the mean of both at beta 1) and fine_tuning; old rows take the place of new ones whole.
+
+    Of old rows with the same key the last by `order` counts (columns of the input order, such as file and line_no); without an
+    order the keys must be unique.
+    """
     cols = [c for c in new.columns if c != key]
-    rows = new if old is None else r.overlay(new, r.last_wins(old, [key], [key]), key, cols).drop("replaced")
+    rows = new if old is None else r.overlay(new, r.last_wins(old, [key], order) if order else old, key, cols).drop("replaced")
     s = (v.beta_lookup(F.col("new_score1_b_by_beta")) + v.beta_lookup(F.col("new_score2_b_by_beta"))) / 2
     return rows.withColumn("score", s).withColumn("fine_tuning", v.partition_tag(F.col("score"), threshold))
 
 
 def build_dataset(refined: DataFrame, max_tokens: int = 6144, tokenizer: Callable[[], object] = tr.Blanks) -> tuple[DataFrame, DataFrame]:
     """Training rows within the budget, and their log."""
-    rows = refined.withColumn("__slice", t.formatted_segments(F.col("segments"), False))
+    rows = refined.withColumn("__slice", t.formatted_segments(F.col("segments"), supplementary=False))
     cols = {"problem": "problem_statement", "slice": "__slice", "win_rc": "new_root_cause", "win_rs": "new_repair_suggestion", "lose_rc": "old_root_cause", "lose_rs": "old_repair_suggestion"}
     f = tr.within_tokens(rows, cols, "fine_tuning", max_tokens, tokenizer=tokenizer)
     x = F.col("fitted")
@@ -114,10 +139,13 @@ def build_dataset(refined: DataFrame, max_tokens: int = 6144, tokenizer: Callabl
     return train.filter(tr.usable_for_training("fine_tuning", "win_rc", "win_rs", "lose_rc", "lose_rs")), log
 
 
-def prepare_evaluation(tasks: DataFrame) -> DataFrame:
-    """The evaluation prompt of each task: issue and fenced old side of its patch; one row for each instance, the first by status."""
-    one = r.first_wins(tasks, ["instance_id"], ["status"])
-    return conformed(one, "eval_prompt", prompt=t.analysis_prompt(F.col("problem_statement"), d.refenced(d.buggy_slice("golden_patch"))))
+def prepare_evaluation(tasks: DataFrame, role: str, given: str, task: str, template: str, order: list[str] | None = None) -> DataFrame:
+    """The evaluation prompt of each task: issue and fenced old side of its patch, in the caller's wording (see analysis_prompt).
+
+    One row for each instance: the first by `order`, or by status without one.
+    """
+    one = r.first_wins(tasks, ["instance_id"], order or ["status"])
+    return conformed(one, "eval_prompt", prompt=t.analysis_prompt(F.col("problem_statement"), d.refenced(d.buggy_slice("golden_patch")), role, given, task, template))
 
 
 def read_predictions(rows: DataFrame, least: int = 20) -> DataFrame:
@@ -125,11 +153,12 @@ def read_predictions(rows: DataFrame, least: int = 20) -> DataFrame:
     return out.withColumn("valid", t.valid_answer("root_cause", "repair_suggestion", least))
 
 
-def evaluate(predictions: DataFrame, references: DataFrame, done: DataFrame | None = None) -> DataFrame:
+def evaluate(predictions: DataFrame, references: DataFrame, done: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """BLEU of both texts of each prediction against its reference; models that are done are left out. Where tokens are given
-    (rc_tokens, rs_tokens on both sides), the overlap of concepts and actions too."""
+    (rc_tokens, rs_tokens on both sides), the overlap of concepts and actions too. Of references to one instance the last by `order`
+    (columns of the input order) counts; without an order they must be unique."""
     p = predictions if done is None else r.without(predictions, done, ["model"])
-    ref = r.last_wins(references, ["instance_id"], ["instance_id"]).select("instance_id", *[F.col(c).alias(f"ref_{c}") for c in references.columns if c != "instance_id"])
+    ref = (r.last_wins(references, ["instance_id"], order) if order else references).select("instance_id", *[F.col(c).alias(f"ref_{c}") for c in references.columns if c != "instance_id"])
     j = p.join(ref, "instance_id")
     j = j.withColumns({"rc_bleu4": lang.bleu("root_cause", "ref_root_cause"), "rs_bleu4": lang.bleu("repair_suggestion", "ref_repair_suggestion")})
     names = ["rc_bleu4", "rs_bleu4"]

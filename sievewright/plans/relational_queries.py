@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import clone_dir, present
+from sievewright.functions.text import clone_dir, judgement_state, large_and_starred, present
 from sievewright.functions.vectors import beta_lookup, partition_tag
 from sievewright.operators import relational as r
 from sievewright.operators import statistics as st
@@ -26,14 +26,21 @@ def flagship_training_rows(spark, sf):
 
 
 def clean_merge_reasons(spark, sf):
-    """Why rows are left out, the first reason counting: no diff, held out, too short, already there, or a repeat."""
-    p = table(spark, sf, "flat_pr").withColumn("key", F.concat_ws("|", normal("repo"), "issue_id"))
-    held = table(spark, sf, "scored").select(F.concat_ws("|", normal("repo"), "issue_id").alias("key"), F.lit(True).alias("held")).distinct()
-    done = table(spark, sf, "cot").select(F.concat_ws("|", normal("repo"), "issue_id").alias("key"), F.lit(True).alias("done")).distinct()
-    first = p.groupBy("key").agg(F.min("row_id").alias("first_row"))
-    j = p.join(held, "key", "left").join(done, "key", "left").join(first, "key")
-    j = r.with_reason(j, [("empty_diff", present("diff_content").isNull()), ("held_out", F.col("held")), ("short", F.coalesce("body_length", F.lit(0)) <= 100), ("history", F.col("done")), ("repeat", F.col("row_id") > F.col("first_row"))])
-    return r.reason_counts(j)
+    """Why changes are left out, the first reason counting: no diff, held out, too short or too few stars, already there, or a repeat
+    of one that has none of these. Keys are repository, issue, pull request and base commit; what is already there has all four."""
+    p = table(spark, sf, "flat_pr").withColumns({"k1": normal("repo"), "k2": F.col("issue_id").cast("string"), "k3": F.col("merged_pr_num"), "k4": F.col("true_base_sha")})
+    keys = ["k1", "k2", "k3", "k4"]
+    held = table(spark, sf, "scored").select(normal("repo").alias("k1"), F.col("base_commit").alias("k4"), F.lit(True).alias("held")).filter("k1 <> '' AND k4 <> ''").distinct()
+    done = table(spark, sf, "cot").select(normal("repo").alias("k1"), F.col("issue_id").cast("string").alias("k2"), F.col("pr_num").alias("k3"), F.col("base_commit").alias("k4"), F.lit(True).alias("done")).dropna().distinct()
+    j = p.join(held, ["k1", "k4"], "left").join(done, keys, "left")
+    reasons = [("empty_diff", present("diff_content").isNull()), ("held_out", F.col("held")), ("unusable", ~large_and_starred("body_length", "star")), ("history", F.col("done"))]
+    j = r.with_reason(j, reasons)
+    first = j.filter("reason = 'kept'").groupBy(*keys).agg(F.min("row_id").alias("first_row"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & j[k].eqNullSafe(first[k])
+    j = j.join(first.select("first_row", *keys), same, "left").select(j["row_id"], "reason", "first_row")
+    return r.reason_counts(j.withColumn("reason", F.when((F.col("reason") == "kept") & (F.col("row_id") > F.col("first_row")), "repeat").otherwise(F.col("reason"))))
 
 
 def first_and_last(spark, sf):
@@ -55,18 +62,18 @@ def clone_plan(spark, sf):
     return d.groupBy("dir").agg(F.min_by("row_id", "row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
 
 
-def valid_prefix(spark, sf):
-    s = table(spark, sf, "scored")
-    ok = F.col("score1").between(0, 1) & F.col("score2").between(0, 1) & (F.col("row_id") != 41)
-    return r.valid_prefix(s, ok, "row_id").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_row"), F.max("next_start").alias("next_start"))
-
-
 def valid_prefix_by_scores(spark, sf):
-    """valid_prefix without its planted row 41: the prefix ends at the first row whose scores are invalid, wherever that is."""
+    """The rows before the first one whose scores are invalid, wherever that is."""
     ok = F.col("score1").between(0, 1) & F.col("score2").between(0, 1)
     return r.valid_prefix(table(spark, sf, "scored"), ok, "row_id").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_row"), F.max("next_start").alias("next_start"))
 
 
+def judgement_states(spark, sf):
+    """Each judged row as valid, invalid or of zero scores; half of the scores are set to 0 where both are small, to have some of each."""
+    s = table(spark, sf, "scored").withColumns({c: F.when((F.col("score1") < 0.4) & (F.col("score2") < 0.4), 0.0).otherwise(F.col(c)) for c in ("score1", "score2")})
+    return s.select("row_id", judgement_state("gemini_judgement", "score1", "score2").alias("state"))
+
+
 def row_slices(spark, sf):
     d = r.row_numbers(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
     return r.row_slice(d, 101, 250).select("doc_id", F.col("idx").cast("long").alias("idx"))
@@ -102,23 +109,25 @@ def answers_with_prompts(spark, sf):
 
 
 QUERIES = {
-    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix, valid_prefix_by_scores, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
+    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix_by_scores, judgement_states, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
 }
 
 _USABLE = "(upper(trim(coalesce(fine_tuning, ''))) = 'SFT' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '') OR (upper(trim(coalesce(fine_tuning, ''))) = 'ORPO' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '' AND trim(coalesce(lose_rc, '')) <> '' AND trim(coalesce(lose_rs, '')) <> '')"
-_KEY = "lower(trim(repo)) || '|' || issue_id"
 
 SQL = {
     "flagship_training_rows": f"""WITH f AS (SELECT *, lower(trim(instance_id)) AS instance, upper(trim(coalesce(fine_tuning, ''))) AS tag FROM final_row WHERE instance_id IS NOT NULL AND ({_USABLE})),
         g AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY built_at DESC NULLS LAST, row_id DESC) AS k FROM f WHERE instance NOT IN (SELECT lower(trim(instance_id)) FROM test_passage))
         SELECT split, tag, count(*) AS n, sum(length(problem_statement))::BIGINT AS chars, min(row_id) AS first_row FROM g WHERE k = 1 GROUP BY split, tag""",
-    "clean_merge_reasons": f"""WITH p AS (SELECT *, {_KEY} AS key FROM flat_pr), f AS (SELECT key, min(row_id) AS first_row FROM p GROUP BY key)
-        SELECT CASE WHEN trim(coalesce(diff_content, '')) = '' THEN 'empty_diff' WHEN p.key IN (SELECT {_KEY} FROM scored WHERE repo IS NOT NULL AND issue_id IS NOT NULL) THEN 'held_out' WHEN coalesce(body_length, 0) <= 100 THEN 'short'
-        WHEN p.key IN (SELECT {_KEY} FROM cot WHERE repo IS NOT NULL AND issue_id IS NOT NULL) THEN 'history' WHEN p.row_id > first_row THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n FROM p JOIN f USING (key) GROUP BY 1""",
+    "clean_merge_reasons": """WITH p AS (SELECT row_id, lower(trim(repo)) AS k1, issue_id::VARCHAR AS k2, merged_pr_num AS k3, true_base_sha AS k4, diff_content, coalesce(body_length, 0) > 100 AND coalesce(star, 0) >= 30 AS ok FROM flat_pr),
+        h AS (SELECT DISTINCT lower(trim(repo)) AS k1, base_commit AS k4 FROM scored WHERE trim(repo) <> '' AND base_commit <> ''), d AS (SELECT DISTINCT lower(trim(repo)) AS k1, issue_id::VARCHAR AS k2, pr_num AS k3, base_commit AS k4 FROM cot),
+        w AS (SELECT p.*, CASE WHEN trim(coalesce(diff_content, '')) = '' THEN 'empty_diff' WHEN h.k1 IS NOT NULL THEN 'held_out' WHEN NOT ok THEN 'unusable' WHEN d.k1 IS NOT NULL THEN 'history' ELSE 'kept' END AS why
+        FROM p LEFT JOIN h ON p.k1 = h.k1 AND p.k4 = h.k4 LEFT JOIN d ON p.k1 = d.k1 AND p.k2 = d.k2 AND p.k3 = d.k3 AND p.k4 = d.k4), x AS (SELECT *, row_number() OVER (PARTITION BY why, k1, k2, k3, k4 ORDER BY row_id) AS n FROM w)
+        SELECT CASE WHEN why = 'kept' AND n > 1 THEN 'repeat' ELSE why END AS reason, count(*) AS n FROM x GROUP BY 1""",
     "first_and_last": "SELECT lower(trim(instance_id)) AS instance, first(row_id ORDER BY built_at, row_id) AS first_row, last(row_id ORDER BY built_at, row_id) AS last_row FROM final_row GROUP BY 1",
     "present_key_antijoin": "SELECT row_id, repo, issue_id FROM mined_issue m WHERE NOT EXISTS (SELECT 1 FROM flat_pr p WHERE lower(trim(p.repo)) = lower(trim(m.repo)) AND p.issue_id = m.issue_id)",
     "clone_plan": "SELECT replace(trim(repo), '/', '_') || '_' || issue_id || '_' || pr_num || '_' || substr(base_commit, 1, 8) AS dir, min(row_id) AS row_id, count(*) AS n FROM cot WHERE repo IS NOT NULL AND issue_id IS NOT NULL AND pr_num IS NOT NULL AND base_commit <> '' GROUP BY 1",
-    "valid_prefix": "WITH b AS (SELECT min(row_id) AS stop FROM scored WHERE NOT coalesce(score1 BETWEEN 0 AND 1 AND score2 BETWEEN 0 AND 1 AND row_id <> 41, false)) SELECT count(*) AS n, max(row_id) AS last_row, CASE WHEN count(*) > 0 THEN 1 + count(*) END AS next_start FROM scored, b WHERE stop IS NULL OR row_id < stop",
+    "judgement_states": """WITH s AS (SELECT row_id, gemini_judgement AS g, CASE WHEN score1 < 0.4 AND score2 < 0.4 THEN 0.0 ELSE score1 END AS a, CASE WHEN score1 < 0.4 AND score2 < 0.4 THEN 0.0 ELSE score2 END AS b FROM scored)
+        SELECT row_id, CASE WHEN g IS NULL OR a IS NULL OR b IS NULL OR NOT (a BETWEEN 0 AND 1) OR NOT (b BETWEEN 0 AND 1) THEN 'invalid' WHEN a = 0 AND b = 0 THEN 'zero' ELSE 'valid' END AS state FROM s""",
     "valid_prefix_by_scores": "WITH b AS (SELECT min(row_id) AS stop FROM scored WHERE NOT coalesce(score1 BETWEEN 0 AND 1 AND score2 BETWEEN 0 AND 1, false)) SELECT count(*) AS n, max(row_id) AS last_row, CASE WHEN count(*) > 0 THEN 1 + count(*) END AS next_start FROM scored, b WHERE stop IS NULL OR row_id < stop",
     "row_slices": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents) SELECT doc_id, idx FROM d WHERE idx >= 101 AND idx < 351",
     "missing_predictions": "SELECT DISTINCT instance_id FROM eval_prompt WHERE instance_id NOT IN (SELECT instance_id FROM prediction WHERE instance_id IS NOT NULL)",

@@ -9,7 +9,7 @@ from sievewright.functions import vectors as v
 from sievewright.functions.text import task_rows
 from sievewright.operators import statistics as st
 from sievewright.operators import training as tr
-from sievewright.plans.text_queries import table
+from sievewright.plans.text_queries import GIVEN, NL, ROLE, table, trim_sql
 
 
 def rounded(df, *cols):
@@ -17,30 +17,11 @@ def rounded(df, *cols):
 
 
 # vectors -------------------------------------------------------------------------------------------------------------------------
-def query_and_chunks(spark, sf):
-    """For each label its first vector as the query, and the next five as chunks in order."""
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    first = F.array_sort(F.collect_list(F.struct("vec_id", "e")))
-    # bounded: only the six least ids of each label are kept, and a window limits them before the shuffle
-    from pyspark.sql import Window as W
-
-    six = e.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).filter("k <= 6")
-    g = six.groupBy("label").agg(first.alias("a"))
-    return g.select("label", F.col("a")[0]["e"].alias("q"), F.transform(F.slice("a", 2, 5), lambda x: x["e"]).alias("chunks"), F.transform(F.slice("a", 2, 5), lambda x: x["vec_id"]).alias("ids"))
-
-
 def cosine_pairs(spark, sf):
-    q = query_and_chunks(spark, sf).select("label", "q")
+    """Each vector against the first of its label."""
     e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    j = e.join(q, "label")
-    return j.select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-
-
-def softmax_methods(spark, sf):
-    g = query_and_chunks(spark, sf).withColumn("sims", F.transform("chunks", lambda c: v.cosine(F.col("q"), c)))
-    w = [(b, v.cosine(F.col("q"), v.weighted_sum(F.col("chunks"), v.softmax(F.col("sims"), b), 64))) for b in (0.5, 1.0, 2.0)]
-    out = g.select("label", v.pooled_similarity(F.col("sims")).alias("method_a"), v.adaptive_beta(F.col("sims")).alias("beta"), *[c.alias(f"method_b_{str(b).replace('.', '_')}") for b, c in w])
-    return rounded(out, "method_a", "beta", "method_b_0_5", "method_b_1_0", "method_b_2_0")
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    return e.join(q, "label").select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
 
 
 def all_queries_and_chunks(spark, sf):
@@ -58,7 +39,7 @@ def all_queries_and_chunks(spark, sf):
 
 
 def softmax_methods_all(spark, sf):
-    """softmax_methods over all vectors instead of the first six of each label; block 0 of a label is what softmax_methods has."""
+    """Both ways of pooling, and the adaptive beta, over records made of all vectors."""
     g = all_queries_and_chunks(spark, sf).withColumn("sims", F.transform("chunks", lambda c: v.cosine(F.col("q"), c)))
     w = [(b, v.cosine(F.col("q"), v.weighted_sum(F.col("chunks"), v.softmax(F.col("sims"), b), 64))) for b in (0.5, 1.0, 2.0)]
     out = g.select("label", "block", F.size("chunks").cast("long").alias("n_chunks"), v.pooled_similarity(F.col("sims")).alias("method_a"), v.adaptive_beta(F.col("sims")).alias("beta"), *[c.alias(f"method_b_{str(b).replace('.', '_')}") for b, c in w])
@@ -98,6 +79,19 @@ def cv_threshold(spark, sf):
     return rounded(st.cross_validated_threshold(j, "fold", "label", "score1", 5, 0.6, 3), "threshold", "precision")
 
 
+def cv_threshold_max(spark, sf):
+    j = judged(spark, sf).withColumn("fold", (F.col("row_id") % 5).cast("int"))
+    return rounded(st.cross_validated_threshold(j, "fold", "label", "score1", 5, 0.6, 3, combine="max"), "threshold", "precision")
+
+
+def config_gaps(spark, sf):
+    """Class gaps of all eight configurations; configuration k of the grid has k / 7 of the second score and the rest of the first."""
+    grid = [x["config"] for x in st.config_grid(spark).collect()]  # eight literals
+    mixed = F.array(*[F.struct(F.lit(c).alias("config"), (F.col("score1") * (1 - k / 7) + F.col("score2") * (k / 7)).alias("score")) for k, c in enumerate(sorted(grid))])
+    c = judged(spark, sf).select("label", F.explode(mixed).alias("x")).select("label", "x.config", "x.score")
+    return rounded(st.class_gap(c, ["config"], "label", "score"), "gap")
+
+
 def class_gaps(spark, sf):
     g = st.ranked(st.class_gap(configs(spark, sf), ["config"], "label", "score"), "gap", "config")
     return rounded(g, "gap")
@@ -145,9 +139,13 @@ def token_budget(spark, sf):
     return f.select("row_id", "fitted.original_total", "fitted.final_total", F.array_join("fitted.actions", ",").alias("actions"), F.md5(F.col("fitted.problem").cast("binary")).alias("problem"))
 
 
+#: The wording that the test queries train with.
+TASKS = {"A": "Name the root cause.", "B": "Name the repair.", "C": "Name cause and repair."}
+
+
 def train_rows_abc(spark, sf):
     f = table(spark, sf, "final_row").filter(tr.usable_for_training("fine_tuning", "win_rc", "win_rs", "lose_rc", "lose_rs"))
-    t = f.select("row_id", F.explode(task_rows(F.coalesce("problem_statement", F.lit("")), F.coalesce("buggy_slice", F.lit("")), F.col("win_rc"), F.col("win_rs"), F.coalesce("lose_rc", F.lit("")), F.coalesce("lose_rs", F.lit("")))).alias("x"))
+    t = f.select("row_id", F.explode(task_rows(*[F.col(c) for c in ("problem_statement", "buggy_slice", "win_rc", "win_rs", "lose_rc", "lose_rs")], ROLE, GIVEN, TASKS)).alias("x"))
     return t.select("row_id", "x.task", F.md5(F.col("x.input").cast("binary")).alias("input"), F.md5(F.col("x.win").cast("binary")).alias("win"), F.md5(F.col("x.lose").cast("binary")).alias("lose"))
 
 
@@ -159,6 +157,16 @@ def preference_loss(spark, sf):
     return rounded(out, "sft_loss", "ratio_loss", "total_loss", "accuracy", "margin")
 
 
+def preference_loss_by_task(spark, sf):
+    """The roll-up by task, over log-probabilities that follow from the lengths of each task's answers."""
+    p = lambda *cs: -((sum((F.char_length(F.coalesce(c, F.lit(""))) for c in cs), F.lit(0)) % 17) + 1) / F.lit(4.0)
+    tasks = (("A", ("rc",)), ("B", ("rs",)), ("C", ("rc", "rs")))
+    rows = F.array(*[F.struct(F.lit(t).alias("task"), p(*[f"win_{c}" for c in cs]).alias("w"), p(*[f"lose_{c}" for c in cs]).alias("l")) for t, cs in tasks])
+    f = table(spark, sf, "final_row").select("fine_tuning", F.explode(rows).alias("x")).select("fine_tuning", "x.*")
+    out = tr.task_loss_report(tr.preference_losses(f, "fine_tuning", "w", "l"), "task")
+    return rounded(out, "sft_loss", "ratio_loss", "total_loss", "accuracy", "margin", "chosen", "rejected", "log_odds")
+
+
 def split_shares(spark, sf):
     return tr.hash_split(table(spark, sf, "final_row"), "row_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -202,27 +210,32 @@ def evidence_overlap(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_pairs, softmax_methods, softmax_methods_all, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
-        token_budget, train_rows_abc, preference_loss, split_shares, jaccard_family, bleu_pairs, evidence_overlap,
+        cosine_pairs, softmax_methods_all, config_gaps, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, cv_threshold_max, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
+        token_budget, train_rows_abc, preference_loss, preference_loss_by_task, split_shares, jaccard_family, bleu_pairs, evidence_overlap,
     )
 }
 
 _J = "j AS (SELECT row_id, gemini_judgement AS label, score1, score2 FROM scored WHERE gemini_judgement IS NOT NULL AND score1 IS NOT NULL AND score2 IS NOT NULL)"
 _C = _J + ", c AS (SELECT row_id, label, 'base' AS config, score1 AS score FROM j UNION ALL SELECT row_id, label, 'alt', score2 FROM j)"
 _S = _C + ", t AS (SELECT i * 0.01::DOUBLE AS threshold FROM range(101) r(i)), s AS (SELECT config, threshold, count(*) FILTER (score >= threshold) AS n_selected, count(*) FILTER (score >= threshold AND label) AS n_correct FROM c, t GROUP BY config, threshold)"
-_Q = "six AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), q AS (SELECT label, e AS q FROM six WHERE k = 1)"
+_Q = "q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)"
 _L = "l AS (SELECT model, lower(trim(status)) AS status, length(root_cause) AS rc, length(repair_suggestion) AS rs, length(raw_output) AS raw FROM prediction)"
 _LONG = _L + ", x AS (SELECT model, status, 'rc' AS metric, rc AS v FROM l UNION ALL SELECT model, status, 'rs', rs FROM l UNION ALL SELECT model, status, 'raw', raw FROM l)"
 _U = "upper(trim(coalesce(fine_tuning, '')))"
 _OK = f"trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '' AND ({_U} = 'SFT' OR ({_U} = 'ORPO' AND trim(coalesce(lose_rc, '')) <> '' AND trim(coalesce(lose_rs, '')) <> ''))"
 
 
-def _ask(what: str, extra: str = "''") -> str:
-    return f"'<|user|>' || chr(10) || p || chr(10) || chr(10) || s || {extra} || chr(10) || chr(10) || '{what}' || chr(10) || '<|assistant|>' || chr(10)"
+def _ask(task: str, extra: str = "") -> str:
+    head = f"'<|im_start|>system' || {NL} || '{ROLE}' || {NL} || '<|im_end|>' || {NL} || '<|im_start|>user' || {NL} || '{GIVEN}' || {NL} || {NL} || 'Perform the following Task:' || {NL} || '{TASKS[task]}' || {NL} || {NL}"
+    return f"md5({head} || '# GitHub Issue Description:' || {NL} || p || {NL} || {NL} || '# Segments Groups:' || {NL} || s{extra} || {NL} || {NL} || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL})"
+
 
+def _answers(task: str) -> str:
+    def one(side: str) -> str:
+        rc, rs = (f"'# {h}:' || {NL} || {trim_sql(f'coalesce({side}_{c}, {chr(39) * 2})')}" for h, c in (("Root Cause", "rc"), ("Repair Suggestion", "rs")))
+        return {"A": rc, "B": rs, "C": f"{rc} || {NL} || {NL} || {rs}"}[task]
 
-def _both(a: str, b: str) -> str:
-    return f"'# Root Cause:' || chr(10) || {a} || chr(10) || chr(10) || '# Repair Suggestion:' || chr(10) || {b}"
+    return ", ".join(f"md5({one(side)} || '<|im_end|>') AS {side}" for side in ("win", "lose"))
 
 
 def _b(beta: float) -> str:
@@ -237,9 +250,6 @@ def _log_odds(x: str) -> str:
 
 SQL = {
     "cosine_pairs": f"WITH {_Q} SELECT vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings JOIN q USING (label)",
-    "softmax_methods": f"""WITH {_Q}, g AS (SELECT label, list(e ORDER BY vec_id) AS chunks FROM six WHERE k BETWEEN 2 AND 6 GROUP BY label), h AS (SELECT label, q, chunks, [list_cosine_similarity(q, c) for c in chunks] AS sims FROM g JOIN q USING (label))
-        SELECT label, round(list_sum([exp(x - list_max(sims)) * x for x in sims]) / list_sum([exp(x - list_max(sims)) for x in sims]), 6) AS method_a, round(least(1.0, greatest(0.5, 1 - 0.5 * (list_max(sims) - list_min(sims)))), 6)::DOUBLE AS beta,
-        {_b(0.5)} AS method_b_0_5, {_b(1.0)} AS method_b_1_0, {_b(2.0)} AS method_b_2_0 FROM h""",
     "softmax_methods_all": f"""WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), q AS (SELECT label, k // 6 AS block, e AS q FROM n WHERE k % 6 = 0),
         g AS (SELECT label, k // 6 AS block, list(e ORDER BY vec_id) AS chunks FROM n WHERE k % 6 > 0 GROUP BY ALL), h AS (SELECT label, block, q, chunks, [list_cosine_similarity(q, c) for c in chunks] AS sims FROM q LEFT JOIN g USING (label, block))
         SELECT label, block, coalesce(len(chunks), 0)::BIGINT AS n_chunks, coalesce(round(list_sum([exp(x - list_max(sims)) * x for x in sims]) / list_sum([exp(x - list_max(sims)) for x in sims]), 6), 0) AS method_a,
@@ -255,6 +265,12 @@ SQL = {
         p AS (SELECT held, t, count(*) AS n, count(*) FILTER (label) AS k FROM f, t, h WHERE fold <> held AND score1 >= t GROUP BY held, t), m AS (SELECT held, min(t) AS t FROM p WHERE n >= 3 AND k / n >= 0.6 GROUP BY held),
         v AS (SELECT m.held, m.t, count(*) FILTER (score1 >= m.t) AS n, count(*) FILTER (score1 >= m.t AND label) AS k FROM m JOIN f ON f.fold = m.held GROUP BY m.held, m.t)
         SELECT count(*) AS n_folds, CASE WHEN count(*) = 5 THEN round(avg(t), 6) END AS threshold, CASE WHEN count(*) = 5 THEN round(avg(CASE WHEN n > 0 THEN k / n ELSE 0.0 END), 6) END AS precision FROM v""",
+    "cv_threshold_max": f"""WITH {_J}, f AS (SELECT *, row_id % 5 AS fold FROM j), t AS (SELECT i * 0.01::DOUBLE AS t FROM range(101) r(i)), h AS (SELECT i AS held FROM range(5) r(i)),
+        p AS (SELECT held, t, count(*) AS n, count(*) FILTER (label) AS k FROM f, t, h WHERE fold <> held AND score1 >= t GROUP BY held, t), m AS (SELECT held, min(t) AS t FROM p WHERE n >= 3 AND k / n >= 0.6 GROUP BY held),
+        v AS (SELECT m.held, m.t, count(*) FILTER (score1 >= m.t) AS n, count(*) FILTER (score1 >= m.t AND label) AS k FROM m JOIN f ON f.fold = m.held GROUP BY m.held, m.t)
+        SELECT count(*) AS n_folds, CASE WHEN count(*) = 5 THEN round(max(t), 6) END AS threshold, CASE WHEN count(*) = 5 THEN round(avg(CASE WHEN n > 0 THEN k / n ELSE 0.0 END), 6) END AS precision FROM v""",
+    "config_gaps": f"""WITH {_J}, k AS (SELECT unnest(['full_block', 'full_legacy', 'noise_block', 'noise_legacy', 'none_block', 'none_legacy', 'semantic_block', 'semantic_legacy']) AS config, unnest(range(8)) AS i), c AS (SELECT config, label, score1 * (1 - i / 7.0::DOUBLE) + score2 * (i / 7.0::DOUBLE) AS score FROM j, k)
+        SELECT config, round(avg(score) FILTER (label) - avg(score) FILTER (NOT label), 6) AS gap FROM c GROUP BY config""",
     "class_gaps": f"WITH {_C}, g AS (SELECT config, avg(score) FILTER (label) - avg(score) FILTER (NOT label) AS gap FROM c GROUP BY config) SELECT config, round(gap, 6) AS gap, row_number() OVER (ORDER BY gap DESC, config)::INT AS place FROM g",
     "paired_wins": f"""WITH {_J}, w AS (SELECT (label AND score2 > score1) OR (NOT label AND score2 < score1) AS win, score1 <> score2 AS moved FROM j)
         SELECT count(*) AS n_pairs, count(*) FILTER (win) AS n_wins, count(*) FILTER (moved) AS n_moved, round(count(*) FILTER (win) / count(*), 6) AS rate_all, round(count(*) FILTER (win) / nullif(count(*) FILTER (moved), 0), 6) AS rate_moved FROM w""",
@@ -265,10 +281,16 @@ SQL = {
     "metric_stats": f"WITH {_L} SELECT model, coalesce(max(rc), 0)::DOUBLE AS max, coalesce(min(rc), 0)::DOUBLE AS min, round(coalesce(avg(rc), 0), 6) AS mean, round(coalesce(var_samp(rc), 0), 6) AS variance, round(coalesce(stddev_samp(rc), 0), 6) AS stdev FROM l GROUP BY model",
     "status_pivot": f"WITH {_LONG} SELECT model, metric, round(avg(v) FILTER (status = 'resolved'), 6) AS mean_resolved, round(avg(v) FILTER (status = 'failed'), 6) AS mean_failed, round(avg(v) FILTER (status = 'resolved') - avg(v) FILTER (status = 'failed'), 6) AS difference FROM x GROUP BY model, metric",
     "model_pivot": f"WITH {_LONG}, m AS (SELECT metric, model, coalesce(avg(v), 0) AS mean FROM x GROUP BY metric, model) SELECT metric, model, round(mean, 6) AS mean, mean = max(mean) OVER (PARTITION BY metric) AND max(mean) OVER (PARTITION BY metric) > 0 AS best FROM m",
-    "train_rows_abc": f"""WITH f AS (SELECT row_id, coalesce(problem_statement, '') AS p, coalesce(buggy_slice, '') AS s, win_rc, win_rs, coalesce(lose_rc, '') AS lose_rc, coalesce(lose_rs, '') AS lose_rs FROM final_row WHERE {_OK})
-        SELECT row_id, 'A' AS task, md5({_ask('Give root cause and repair.')}) AS input, md5({_both('win_rc', 'win_rs')}) AS win, md5({_both('lose_rc', 'lose_rs')}) AS lose FROM f
-        UNION ALL SELECT row_id, 'B', md5({_ask('Give the root cause.')}), md5(win_rc), md5(lose_rc) FROM f
-        UNION ALL SELECT row_id, 'C', md5({_ask('Give the repair.', "chr(10) || chr(10) || 'Root cause: ' || win_rc")}), md5(win_rs), md5(lose_rs) FROM f""",
+    "train_rows_abc": f"""WITH f AS (SELECT *, coalesce(problem_statement, '') AS p, coalesce(buggy_slice, '') AS s FROM final_row WHERE {_OK})
+        SELECT row_id, 'A' AS task, {_ask('A')} AS input, {_answers('A')} FROM f
+        UNION ALL SELECT row_id, 'B', {_ask('B', f" || {NL} || {NL} || '# Root Cause:' || {NL} || win_rc")}, {_answers('B')} FROM f
+        UNION ALL SELECT row_id, 'C', {_ask('C')}, {_answers('C')} FROM f""",
+    "preference_loss_by_task": f"""WITH n AS (SELECT {_U} = 'ORPO' AS orpo, length(coalesce(win_rc, '')) AS wc, length(coalesce(win_rs, '')) AS ws, length(coalesce(lose_rc, '')) AS lc, length(coalesce(lose_rs, '')) AS ls FROM final_row),
+        t AS (SELECT orpo, 'A' AS task, wc AS a, lc AS b FROM n UNION ALL SELECT orpo, 'B', ws, ls FROM n UNION ALL SELECT orpo, 'C', wc + ws, lc + ls FROM n), f AS (SELECT orpo, task, -((a % 17) + 1) / 4.0::DOUBLE AS w, -((b % 17) + 1) / 4.0::DOUBLE AS l FROM t),
+        g AS (SELECT *, {_log_odds('w')} - {_log_odds('l')} AS o FROM f), p AS (SELECT task, count(*) AS n, count(*) FILTER (orpo) AS n_orpo, avg(-w) AS sft, coalesce(sum(ln(1 + exp(-o))) FILTER (orpo), 0) / count(*) AS ratio FROM g GROUP BY task)
+        SELECT task, n, n_orpo, round(sft, 6) AS sft_loss, round(ratio, 6) AS ratio_loss, round(sft + 0.1::DOUBLE * ratio, 6) AS total_loss, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS margin, NULL::DOUBLE AS chosen, NULL::DOUBLE AS rejected, NULL::DOUBLE AS log_odds FROM p
+        UNION ALL SELECT 'all', (SELECT sum(n)::BIGINT FROM p), (SELECT sum(n_orpo)::BIGINT FROM p), round((SELECT avg(sft) FROM p), 6), round((SELECT avg(ratio) FROM p), 6), round((SELECT avg(sft) + 0.1::DOUBLE * avg(ratio) FROM p), 6),
+        round(count(*) FILTER (w > l) / count(*), 6), round(avg(w - l), 6), round(avg(w), 6), round(avg(l), 6), round(avg(o), 6) FROM g WHERE orpo""",
     "preference_loss": f"""WITH f AS (SELECT split, {_U} = 'ORPO' AS orpo, -((length(coalesce(win_rc, '')) % 17) + 1) / 4.0::DOUBLE AS w, -((length(coalesce(lose_rc, '')) % 17) + 1) / 4.0::DOUBLE AS l FROM final_row),
         g AS (SELECT *, CASE WHEN orpo THEN ln(1 + exp(-({_log_odds('w')} - {_log_odds('l')}))) ELSE 0.0 END AS ratio FROM f)
         SELECT split, count(*) AS n, count(*) FILTER (orpo) AS n_orpo, round(avg(-w), 6) AS sft_loss, round(avg(ratio), 6) AS ratio_loss, round(avg(-w) + 0.1::DOUBLE * avg(ratio), 6) AS total_loss, round(count(*) FILTER (orpo AND w > l) / nullif(count(*) FILTER (orpo), 0), 6) AS accuracy,

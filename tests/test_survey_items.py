@@ -38,10 +38,26 @@ def test_config_grid(spark):
 
 def test_prompts(spark):
     c = [F.lit(x) for x in ("i", "a", "b", "d", "e", "f")]
-    got = spark.range(1).select(t.judge_prompt(*c[:3], F.lit(None).cast("string")).alias("j"), t.refine_prompt(*c).alias("r"), t.guidance_prompt(c[0], c[1]).alias("g"), t.guidance_prompt(c[0], F.lit(" ")).alias("bad")).first()
-    assert got["j"] == "Issue:\ni\n\nRoot cause:\na\n\nRemoved:\nb\n\nAdded:\n\n"
-    assert got["r"] == "Issue:\ni\nRemoved:\na\nAdded:\nb\nRoot cause:\nd\nReasoning:\ne\nRepair suggestion:\nf\n"
-    assert got["g"].endswith("\\n# Issue:\\ni\\n# Segments:\\na\\n") and "\n" not in got["g"] and got["bad"] == "the prompt can't be built"
+    null = F.lit(None).cast("string")
+    got = spark.range(1).select(
+        t.judge_prompt(*c[:3], null).alias("j"), t.refine_prompt(*c).alias("r"), t.guidance_prompt(c[0], c[1], "Do it.").alias("g"), t.guidance_prompt(c[0], F.lit(" "), "Do it.").alias("bad"), t.analysis_prompt(c[0], null, "R", "G", "T", "A").alias("p"),
+        t.task_rows(c[0], c[1], F.lit(" rc "), F.lit("rs"), null, F.lit("lrs"), "R", "G", {"A": "ta", "B": "tb", "C": "tc"}).alias("t"),
+    ).first()
+    assert got["j"] == "Issue Description:\ni\n\nRoot Cause:\na\n\ndiff_remove:\nb\n\ndiff_add:\n\n"
+    assert got["r"] == "Issue Description:\ni\ndiff_remove:\na\ndiff_add:\nb\nroot_cause:\nd\ngemini_reasoning:\ne\nrepair_suggestion:\nf\n"
+    assert got["g"] == "Do it.\\n# GitHub Issue Description:\\ni\\n# Segments Groups:\\na\\n" and got["bad"] == "user prompt build error"
+    assert got["p"] == "\nR\n\nG\n\nPerform the following Task:\nT\n\n# GitHub Issue Description:\ni\n\n# Segments Groups:\n\n\nA\n"
+    a, b, both = got["t"]
+    assert (a["task"], a["win"], a["lose"]) == ("A", "# Root Cause:\nrc<|im_end|>", "# Root Cause:\n<|im_end|>")
+    assert (b["win"], b["lose"]) == ("# Repair Suggestion:\nrs<|im_end|>", "# Repair Suggestion:\nlrs<|im_end|>") and "a\n\n# Root Cause:\n rc \n\n<|im_end|>\n<|im_start|>assistant\n" in b["input"]
+    assert both["win"] == "# Root Cause:\nrc\n\n# Repair Suggestion:\nrs<|im_end|>" and both["input"].startswith("<|im_start|>system\nR\n<|im_end|>\n<|im_start|>user\nG\n\nPerform the following Task:\ntc\n\n# GitHub")
+
+
+def test_segments(spark):
     seg = "array<struct<suspicious:struct<file:string,content:string>,supplementary:struct<file:string,content:string>>>"
-    s = spark.range(1).select(t.reasoning_prompt(F.lit("i"), F.from_json(F.lit('[{"suspicious":{"file":"a.py","content":"x"}}]'), seg)).alias("p")).first()["p"]
-    assert s.startswith("Issue:\ni\n\nSegments:\n### Segment 1") and "a.py" in s
+    s = F.from_json(F.lit('[{"suspicious":{"file":"a.py","content":"x \\n\\n"}},{"suspicious":null,"supplementary":{"file":"b.py","content":"y"}}]'), seg)
+    got = spark.range(1).select(t.formatted_segments(s).alias("both"), t.formatted_segments(s, False).alias("one"), t.formatted_segments(s, only_present=True).alias("some"), t.formatted_segments(F.lit(None).cast(seg)).alias("none"), t.formatted_segments(F.array().cast(seg)).alias("empty")).first()
+    one = ["--- Segment Group 1 ---\n[Suspicious] file: a.py\n```\nx\n```\n", "--- Segment Group 2 ---\n[Suspicious] file: \n```\n\n```\n"]
+    extra = ["[Supplementary] file: \n```\n\n```\n", "[Supplementary] file: b.py\n```\ny\n```\n"]
+    assert got["one"] == "\n".join(one) and got["both"] == one[0] + extra[0] + "\n" + one[1] + extra[1] and got["some"] == one[0] + "\n" + one[1] + extra[1]
+    assert got["none"] == "" and got["empty"] == ""

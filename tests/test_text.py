@@ -73,5 +73,41 @@ def test_message_forms(spark):
     rows = ['{"response":{"body":{"choices":[{"message":{"content":"a"}}]}}}', '{"response":{"body":"{\\"choices\\":[{\\"message\\":{\\"content\\":\\"b\\"}}]}"}}', '{"content":"c"}', "not json"]
     df = spark.createDataFrame([(r,) for r in rows], "s string")
     assert [r[0] for r in df.select(t.message_content("s")).collect()] == ["a", "b", "c", None]
-    events = F.array(F.lit('{"role":"assistant","content":"x"}'), F.lit('{"role":"assistant","content":[{"text":"y"},{"text":"z"}]}'), F.lit('{"role":"user","content":"q"}'))
-    assert one(spark, t.last_message(events)) == "yz"
+
+
+def test_agent_messages(spark):
+    lines = [
+        "not json", '{"type":"item.started","item":{"type":"agent_message","text":"early"}}', '{"type":"item.completed","item":{"item_type":"assistant_message","content":["a",{"text":"b"},{"x":1}]}}',
+        '{"type":"item.completed","item":{"type":"agent_message","text":""}}', '{"type":"item.completed","item":{"type":"reasoning","text":"no"}}', '{"type":"turn.completed","item":{"type":"agent_message","text":"no"}}',
+    ]
+    df = spark.createDataFrame([(lines,), (lines[:2],), (lines[3:],), ([],), (None,), ([*lines, '{"type":"error","message":"Usage LIMIT hit"}'],), (['{"type":"error","message":null}'],)], "e array<string>")
+    got = df.select(t.last_message(F.col("e")).alias("m"), t.usage_limited(F.col("e")).alias("u")).collect()
+    assert [(r["m"], r["u"]) for r in got] == [("ab", False), ("early", False), (None, False), (None, False), (None, False), ("ab", True), (None, False)]
+
+
+def test_files_of_nothing_and_other_case(spark):
+    none = F.lit(None).cast("array<string>")
+    assert one(spark, t.docs_only(none)) is True
+    file = lambda p: F.struct(F.lit(p).alias("path"), F.lit(9).alias("additions"), F.lit(9).alias("deletions"))
+    assert one(spark, t.code_changes(F.array(file("a.PY"), file("b.py")))) is True
+    assert one(spark, t.code_changes(F.lit(None).cast("array<struct<path:string,additions:int,deletions:int>>"))) is False
+
+
+def test_fractions_of_seconds(spark):
+    rows = ["2024-01-02T03:04:05.5Z", "2024-01-02T03:04:05.123456+02:00", "2024-01-02T03:04:05.25", "2024-01-02T03:04:05", "2024-01-02"]
+    got = [str(r[0]) for r in spark.createDataFrame([(x,) for x in rows], "s string").select(F.date_format(t.iso_timestamp("s"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).collect()]
+    assert got == ["2024-01-02 03:04:05.500000", "2024-01-02 01:04:05.123456", "2024-01-02 03:04:05.250000", "2024-01-02 03:04:05.000000", "2024-01-02 00:00:00.000000"]
+
+
+def test_stars_and_states(spark):
+    df = spark.createDataFrame([(101, 30), (100, 30), (101, 29), (None, 50), (500, None)], "n long, s long")
+    assert [r[0] for r in df.select(t.large_and_starred("n", "s")).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([(True, 0.5, 1.0), (None, 0.5, 0.5), (False, 0.0, 0.0), (True, 0.0, 0.1), (True, 1.1, 0.5), (True, None, 0.5), (True, float("nan"), 0.5)], "j boolean, a double, b double")
+    assert [r[0] for r in df.select(t.judgement_state("j", "a", "b")).collect()] == ["valid", "invalid", "zero", "valid", "invalid", "invalid", "invalid"]
+    assert one(spark, t.retryable("s"), s="fatal: Early EOF") and one(spark, t.retryable("s"), s="git: exit status 128") and not one(spark, t.retryable("s"), s="fatal: no such file")
+
+
+def test_guidance_labels(spark):
+    s = "```\r\n # Root  Cause \r\nThe ```x``` lock.\n\n#repair suggestion\nWait.\n## Root Cause\n```"
+    assert one(spark, t.guidance("s"), s=s) == "ROOT_CAUSE:\nThe x lock.\nREPAIR_SUGGESTION:\nWait.\n## Root Cause"
+    assert spark.range(1).select(t.guidance(F.lit(None).cast("string"))).first()[0] == ""
