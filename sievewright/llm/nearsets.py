@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.words import Flat, combine, list_array, mix, words_of
+from sievewright.operators.relational import estimated_bytes
 from sievewright.session import materialize, release
 
 #: Bands of rows. At similarity 0.75 a pair shares none of 48 bands of 6 with probability 1e-4, at 0.8 with 2e-7; so it is with 34
 #: bands of 5 (at 0.8 1e-6), which cost less to hash and to shuffle, but hold more pairs that are not alike.
 BANDS, ROWS = 48, 6
+#: How large the table of shared bands may be, as written, to be broadcast.
+SMALL_BYTES = 16 << 20
 #: One bit of each of the first so many minwise values is the fingerprint of a text.
 PRINT_BITS = 128
 
@@ -200,17 +203,23 @@ def trie_candidates(signed: DataFrame, budget: int, most: int = 2048, side: str
     """Distinct pairs (a < b) of keys that share a band and whose fingerprints differ in at most `budget` bits.
 
     With `side`, a column of 0 and 1 (a key may have a row of each), a is a key of side 0, b one of side 1, and only such pairs count.
-    Only bands and keys are shuffled to find the bands with more than one row; fingerprints join what is left. A band of more
-    than `most` rows is cut into chunks, and every two chunks that have to meet do so in a cell of their own, so that no task
-    holds more than two chunks of a band, however many rows share it; no pair is lost.
+    Bands are counted first, combined before the shuffle; those with rows to meet are written as a table of their own. Where that
+    is small by its size on disk it goes to the rows as a broadcast, and fingerprints come along; beyond, rows and table meet in a
+    join, whose hot bands are split by the optimizer, and fingerprints join what is left. A band of more than `most` rows is cut
+    into chunks, and every two chunks that have to meet do so in a cell of their own, so that no task holds more than two chunks
+    of a band, however many rows share it; no pair is lost.
     """
     sides = [] if side is None else [F.col(side).cast("int").alias("side")]
-    bands = signed.select("key", *sides, F.explode("bands").alias("band"))
+    bands = signed.select(*sides, F.explode("bands").alias("band"))
     if side is None:
         sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     else:
         sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("__low"), F.max("side").alias("__high")).filter("__low < __high").drop("__low", "__high")
-    rows = bands.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / most))
+    sizes = materialize(sizes, "bands")
+    small = estimated_bytes(sizes) <= SMALL_BYTES
+    prints = ["print_hi", "print_lo"]
+    every = signed.select("key", *sides, *(prints if small else []), F.explode("bands").alias("band"))
+    rows = every.join(F.broadcast(sizes) if small else sizes, "band").withColumn("chunks", F.ceil(F.col("size") / most))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     if side is None:
         first, second, at = F.least("chunk", "other"), F.greatest("chunk", "other"), (F.col("chunk") > F.col("other")).cast("int")
@@ -218,8 +227,10 @@ def trie_candidates(signed: DataFrame, budget: int, most: int = 2048, side: str
         of_b = F.col("side") == 1
         first, second, at = F.when(of_b, F.col("other")).otherwise(F.col("chunk")), F.when(of_b, F.col("chunk")).otherwise(F.col("other")), F.col("side")
     cell = F.when(F.col("chunks") == 1, F.col("band")).otherwise(F.xxhash64("band", first, second))
-    prints = signed.select("key", "print_hi", "print_lo")
-    cells = rows.select(cell.alias("cell"), at.alias("side"), "key").join(prints if side is None else prints.dropDuplicates(["key"]), "key")
+    cells = rows.select(cell.alias("cell"), at.alias("side"), "key", *(prints if small else []))
+    if not small:
+        own = signed.select("key", *prints)
+        cells = cells.join(own if side is None else own.dropDuplicates(["key"]), "key")
     kind = cells.schema["key"].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -297,6 +297,15 @@ def test_hot_band_is_cut_into_cells_without_loss(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_both_ways_to_the_shared_bands_are_the_same(spark, near_samples, monkeypatch):
+    signed = nearsets.signatures(texts_df(spark, [t or "" for t in near_samples]), "id", "body").withColumn("sides", F.when(F.col("key") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("key") % 2).cast("int"))))
+    got = []
+    for most in (nearsets.SMALL_BYTES, -1):
+        monkeypatch.setattr(nearsets, "SMALL_BYTES", most)
+        got.append([{(x["a"], x["b"]) for x in f.collect()} for f in (nearsets.trie_candidates(signed, 34, 8), nearsets.trie_candidates(signed.withColumn("side", F.explode("sides")), 34, 8, side="side"))])
+    assert got[0] == got[1] and all(got[0])
+
+
 def test_forest_join_levels():
     r = np.random.default_rng(6)
     n = 400
