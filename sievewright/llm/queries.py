@@ -72,6 +72,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).filter("piece_no = 1").select("tbl", "row_id", "field_name")
 
 
+def p4_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """Each oversized value put together again from its pieces, without their overlaps, and whether all pieces keep the limit."""
+    after = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.expr("substring(piece, 201)"))
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", after.alias("text"))))
+    g = p4_pieces(spark, sf).groupBy("tbl", "row_id", "field_name").agg(F.max(F.char_length("piece")).alias("longest"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+    return g.select("tbl", "row_id", "field_name", F.md5(F.col("text").cast("binary")).alias("text"), (F.col("longest") <= 3000).alias("fits"))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 def overlaps(spark: SparkSession, sf: str):
     from sievewright.llm.crosssplit import cross_split
@@ -128,7 +136,7 @@ def repeated(spark: SparkSession, sf: str):
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated(spark, sf).rows.drop("__label")
+    return repeated(spark, sf).rows.select("tbl", "row_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_repeated").cast("long").alias("n_repeated"), "share")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_rejoined": p4_rejoined,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p5_report": p5_report,
@@ -224,6 +233,9 @@ _P5 = (
 )
 
 
+_CLASSES = "cls AS (SELECT row_id, min(row_id) OVER (PARTITION BY array_to_string(list_sort(w), ' ')) AS class FROM big)"
+
+
 def _repeated(tbl: str, field: str) -> str:
     words = _WORDS.format(f"coalesce({field}, '')")
     return f"SELECT '{tbl}' AS tbl, row_id, {words} AS w FROM {tbl}"
@@ -232,18 +244,35 @@ def _repeated(tbl: str, field: str) -> str:
 SQL: dict[str, str] = {
     "p2_found": "WITH " + _near("mined_issue") + """ SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM e a JOIN e b USING (x, k) JOIN big p ON p.row_id = a.row_id JOIN big q ON q.row_id = b.row_id
         WHERE a.row_id < b.row_id GROUP BY a.row_id, b.row_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.75""",
+    "p2_groups": "WITH RECURSIVE " + _near("mined_issue") + f""", near AS (SELECT a.row_id AS a, b.row_id AS b FROM e a JOIN e b USING (x, k) JOIN big p ON p.row_id = a.row_id JOIN big q ON q.row_id = b.row_id
+        WHERE a.row_id <> b.row_id GROUP BY a.row_id, b.row_id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.75), comp AS (SELECT row_id AS id, row_id AS c FROM big UNION SELECT near.b, comp.c FROM comp JOIN near ON comp.id = near.a),
+        {_CLASSES}, links AS (SELECT near.a AS row_id, count(DISTINCT q.class) AS n FROM near JOIN cls p ON p.row_id = near.a JOIN cls q ON q.row_id = near.b WHERE p.class <> q.class GROUP BY near.a), m AS (SELECT id AS row_id, min(c) AS group_id FROM comp GROUP BY id)
+        SELECT row_id, group_id, coalesce(n, 0)::BIGINT AS n_links FROM m LEFT JOIN links USING (row_id)""",
+    "p4_rejoined": """
+        SELECT 'final_row' AS tbl, row_id, 'buggy_slice' AS field_name, md5(buggy_slice) AS text, true AS fits FROM final_row WHERE length(buggy_slice) > 3000
+        UNION ALL SELECT 'final_row', row_id, 'problem_statement', md5(problem_statement), true FROM final_row WHERE length(problem_statement) > 3000
+        UNION ALL SELECT 'scored', row_id, 'raw_diff', md5(raw_diff), true FROM scored WHERE length(raw_diff) > 3000
+    """,
     "p4_found": """
         SELECT 'final_row' AS tbl, row_id, 'buggy_slice' AS field_name FROM final_row WHERE length(buggy_slice) > 3000
         UNION ALL SELECT 'final_row', row_id, 'problem_statement' FROM final_row WHERE length(problem_statement) > 3000
         UNION ALL SELECT 'scored', row_id, 'raw_diff' FROM scored WHERE length(raw_diff) > 3000
     """,
     "p5_found": _P5 + "SELECT least(t, v) AS row_id_a, greatest(t, v) AS row_id_b FROM every",
+    "p5_classes": _P5
+    + f""", {_CLASSES}, l AS (SELECT t AS row_id, v AS other FROM near UNION ALL SELECT v, t FROM near), n AS (SELECT l.row_id, count(DISTINCT class) AS n FROM l JOIN cls ON cls.row_id = l.other GROUP BY l.row_id),
+        c AS (SELECT i, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_eval FROM ids GROUP BY i)
+        SELECT ids.row_id, CASE WHEN train THEN 0 ELSE 1 END AS side, coalesce(class, ids.row_id) AS class, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(CASE WHEN train THEN n_eval ELSE n_train END, 0)::BIGINT AS n_same_instance
+        FROM ids LEFT JOIN cls USING (row_id) LEFT JOIN n ON n.row_id = ids.row_id LEFT JOIN c ON c.i = ids.i""",
     "p5_report": _P5
     + """, per AS (SELECT v AS row_id, count(*) AS n FROM every GROUP BY v)
         SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs, round(count(n) / count(*), 6) AS share FROM final_row LEFT JOIN per USING (row_id) WHERE split IN ('valid', 'test') GROUP BY split, source""",
     "p7_found": f"""WITH t AS ({_repeated("cot", "gen_text")} UNION ALL {_repeated("prediction", "raw_output")}), g AS (SELECT tbl, row_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 10),
         k AS (SELECT tbl, row_id, n, i, row_number() OVER (PARTITION BY tbl, row_id, w[i:i + 4] ORDER BY i) > 1 AS again FROM g), c AS (SELECT DISTINCT tbl, row_id, n, unnest(range(i, i + 5)) AS at FROM k WHERE again)
         SELECT tbl, row_id FROM c GROUP BY tbl, row_id, n HAVING count(*) / n >= 0.35""",
+    "p7_shares": f"""WITH t AS ({_repeated("cot", "gen_text")} UNION ALL {_repeated("prediction", "raw_output")}), g AS (SELECT tbl, row_id, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 5),
+        k AS (SELECT tbl, row_id, i, row_number() OVER (PARTITION BY tbl, row_id, w[i:i + 4] ORDER BY i) > 1 AS again FROM g), c AS (SELECT DISTINCT tbl, row_id, unnest(range(i, i + 5)) AS at FROM k WHERE again), r AS (SELECT tbl, row_id, count(*) AS n FROM c GROUP BY ALL)
+        SELECT tbl, row_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(n, 0) / greatest(len(w), 1) AS share FROM t LEFT JOIN r USING (tbl, row_id)""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM test_passage),
         dw AS (SELECT doc_id, unnest([array_to_string(w[k:k + 19], ' ') for k in range(1, len(w) - 18)]) AS x FROM d WHERE len(w) >= 20), iw AS (SELECT item_id, unnest([array_to_string(w[k:k + 19], ' ') for k in range(1, len(w) - 18)]) AS x FROM i WHERE len(w) >= 20)
