@@ -167,6 +167,10 @@ def preference_loss_by_task(spark, sf):
     return rounded(out, "sft_loss", "ratio_loss", "total_loss", "accuracy", "margin", "chosen", "rejected", "log_odds")
 
 
+def exact_split_shares(spark, sf):
+    return tr.exact_split(table(spark, sf, "final_row").select("row_id"), "row_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_rows"))
+
+
 def split_shares(spark, sf):
     return tr.hash_split(table(spark, sf, "final_row"), "row_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -211,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_pairs, softmax_methods_all, config_gaps, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, cv_threshold_max, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
-        token_budget, train_rows_abc, preference_loss, preference_loss_by_task, split_shares, jaccard_family, bleu_pairs, evidence_overlap,
+        token_budget, train_rows_abc, preference_loss, preference_loss_by_task, split_shares, exact_split_shares, jaccard_family, bleu_pairs, evidence_overlap,
     )
 }
 
@@ -295,6 +299,7 @@ SQL = {
         g AS (SELECT *, CASE WHEN orpo THEN ln(1 + exp(-({_log_odds('w')} - {_log_odds('l')}))) ELSE 0.0 END AS ratio FROM f)
         SELECT split, count(*) AS n, count(*) FILTER (orpo) AS n_orpo, round(avg(-w), 6) AS sft_loss, round(avg(ratio), 6) AS ratio_loss, round(avg(-w) + 0.1::DOUBLE * avg(ratio), 6) AS total_loss, round(count(*) FILTER (orpo AND w > l) / nullif(count(*) FILTER (orpo), 0), 6) AS accuracy,
         round(avg(w - l) FILTER (orpo), 6) AS margin FROM g GROUP BY split""",
+    "exact_split_shares": "WITH n AS (SELECT count(*) AS n, floor(count(*) * 0.85::DOUBLE)::BIGINT AS k FROM final_row) SELECT 'train' AS part, k AS n, k AS n_rows FROM n UNION ALL SELECT 'held_out', n - k, n - k FROM n",
     "jaccard_family": """WITH q AS (SELECT row_id, list_filter(regexp_split_to_array(lower(root_cause), '[^a-z0-9_]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(repair_suggestion), '[^a-z0-9_]+'), lambda x: x <> '') AS b FROM prediction WHERE root_cause IS NOT NULL AND repair_suggestion IS NOT NULL),
         u AS (SELECT row_id, a, b, list_distinct(list_concat(a, b)) AS u FROM q)
         SELECT row_id, len(u)::BIGINT AS n_union, len(list_intersect(list_distinct(a), list_distinct(b)))::BIGINT AS n_both, CASE WHEN len(u) = 0 THEN 1.0 ELSE round(len(list_intersect(list_distinct(a), list_distinct(b))) / len(u), 6) END::DOUBLE AS jaccard,
