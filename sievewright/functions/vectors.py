@@ -30,6 +30,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (norm > 0), dot / norm).otherwise(F.lit(0.0))
 
 
+def pair_scores(embedded: Column) -> Column:
+    """struct(score1, score2) of four vectors that came as one answer: the first against the second, the third against the fourth.
+
+    An answer without exactly four vectors gives zeros.
+    """
+    one = lambda i: F.when(F.size(embedded) == 4, cosine(F.get(embedded, F.lit(i)), F.get(embedded, F.lit(i + 1)))).otherwise(0.0)
+    return F.struct(one(0).alias("score1"), one(2).alias("score2"))
+
+
 def softmax(xs: Column, beta: float = 1.0) -> Column:
     """Weights exp(x / beta), shifted by the largest, that sum to 1; an empty array for none."""
     top = F.array_max(xs)

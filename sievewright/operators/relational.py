@@ -166,6 +166,15 @@ def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
+def top_n(df: DataFrame, groups: list[str], by: str, n: int, ties: list[str]) -> DataFrame:
+    """The n rows of each group with the largest `by`, nulls last, with `place`; ties go by the columns of `ties` upwards.
+
+    The rank is limited before the shuffle, so a hot group sends n rows from each task.
+    """
+    w = W.partitionBy(*groups).orderBy(F.desc_nulls_last(by), *ties)
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
 def castable(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
     """Rows whose columns can all be cast, cast."""
     out = df.withColumns({c: F.col(c).cast("string").try_cast(kind) for c in columns})

@@ -74,6 +74,11 @@ def judgement_states(spark, sf):
     return s.select("row_id", judgement_state("gemini_judgement", "score1", "score2").alias("state"))
 
 
+def top_commented(spark, sf):
+    m = table(spark, sf, "mined_issue").select("query_type", "comments_count", "row_id")
+    return r.top_n(m, ["query_type"], "comments_count", 6, ["row_id"])
+
+
 def row_slices(spark, sf):
     d = r.row_numbers(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
     return r.row_slice(d, 101, 250).select("doc_id", F.col("idx").cast("long").alias("idx"))
@@ -109,7 +114,7 @@ def answers_with_prompts(spark, sf):
 
 
 QUERIES = {
-    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix_by_scores, judgement_states, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
+    f.__name__: f for f in (flagship_training_rows, clean_merge_reasons, first_and_last, present_key_antijoin, clone_plan, valid_prefix_by_scores, judgement_states, top_commented, row_slices, missing_predictions, overlay_rows, partition_by_score, union_in_order, answers_with_prompts)
 }
 
 _USABLE = "(upper(trim(coalesce(fine_tuning, ''))) = 'SFT' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '') OR (upper(trim(coalesce(fine_tuning, ''))) = 'ORPO' AND trim(coalesce(win_rc, '')) <> '' AND trim(coalesce(win_rs, '')) <> '' AND trim(coalesce(lose_rc, '')) <> '' AND trim(coalesce(lose_rs, '')) <> '')"
@@ -129,6 +134,7 @@ SQL = {
     "judgement_states": """WITH s AS (SELECT row_id, gemini_judgement AS g, CASE WHEN score1 < 0.4 AND score2 < 0.4 THEN 0.0 ELSE score1 END AS a, CASE WHEN score1 < 0.4 AND score2 < 0.4 THEN 0.0 ELSE score2 END AS b FROM scored)
         SELECT row_id, CASE WHEN g IS NULL OR a IS NULL OR b IS NULL OR NOT (a BETWEEN 0 AND 1) OR NOT (b BETWEEN 0 AND 1) THEN 'invalid' WHEN a = 0 AND b = 0 THEN 'zero' ELSE 'valid' END AS state FROM s""",
     "valid_prefix_by_scores": "WITH b AS (SELECT min(row_id) AS stop FROM scored WHERE NOT coalesce(score1 BETWEEN 0 AND 1 AND score2 BETWEEN 0 AND 1, false)) SELECT count(*) AS n, max(row_id) AS last_row, CASE WHEN count(*) > 0 THEN 1 + count(*) END AS next_start FROM scored, b WHERE stop IS NULL OR row_id < stop",
+    "top_commented": "SELECT query_type, comments_count, row_id, row_number() OVER (PARTITION BY query_type ORDER BY comments_count DESC NULLS LAST, row_id)::INT AS place FROM mined_issue QUALIFY place <= 6",
     "row_slices": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents) SELECT doc_id, idx FROM d WHERE idx >= 101 AND idx < 351",
     "missing_predictions": "SELECT DISTINCT instance_id FROM eval_prompt WHERE instance_id NOT IN (SELECT instance_id FROM prediction WHERE instance_id IS NOT NULL)",
     "overlay_rows": "SELECT row_id, repo, CASE WHEN row_id % 3 = 0 THEN 'kept' ELSE fine_tuning END AS fine_tuning, CASE WHEN row_id % 3 = 0 THEN coalesce(score, 0) + 1 ELSE score END AS score, row_id % 3 = 0 AS replaced FROM refined",

@@ -24,6 +24,15 @@ def cosine_pairs(spark, sf):
     return e.join(q, "label").select("vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
 
 
+def pair_scores(spark, sf):
+    """Answers made of every four vectors of a label; the last of a label may be incomplete."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding").withColumn("k", F.floor((F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1) / 4))
+    g = e.groupBy("label", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("v"))
+    return rounded(g.select("label", "k", v.pair_scores(F.col("v")).alias("s")).select("label", "k", "s.score1", "s.score2"), "score1", "score2")
+
+
 def all_queries_and_chunks(spark, sf):
     """Records out of all vectors: a label's vectors by vec_id in blocks of six, the first as the query, the rest as its chunks.
 
@@ -214,7 +223,7 @@ def evidence_overlap(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_pairs, softmax_methods_all, config_gaps, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, cv_threshold_max, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
+        cosine_pairs, pair_scores, softmax_methods_all, config_gaps, group_means, roc_auc, precision_thresholds, threshold_scan, cv_threshold, cv_threshold_max, class_gaps, paired_wins, pass_counts, length_histogram, length_percentiles, metric_stats, status_pivot, model_pivot,
         token_budget, train_rows_abc, preference_loss, preference_loss_by_task, split_shares, exact_split_shares, jaccard_family, bleu_pairs, evidence_overlap,
     )
 }
@@ -254,6 +263,8 @@ def _log_odds(x: str) -> str:
 
 SQL = {
     "cosine_pairs": f"WITH {_Q} SELECT vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings JOIN q USING (label)",
+    "pair_scores": """WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 4 AS k FROM embeddings), g AS (SELECT label, k, list(e ORDER BY vec_id) AS v FROM n GROUP BY ALL)
+        SELECT label, k, CASE WHEN len(v) = 4 THEN round(list_cosine_similarity(v[1], v[2]), 6) ELSE 0 END AS score1, CASE WHEN len(v) = 4 THEN round(list_cosine_similarity(v[3], v[4]), 6) ELSE 0 END AS score2 FROM g""",
     "softmax_methods_all": f"""WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), q AS (SELECT label, k // 6 AS block, e AS q FROM n WHERE k % 6 = 0),
         g AS (SELECT label, k // 6 AS block, list(e ORDER BY vec_id) AS chunks FROM n WHERE k % 6 > 0 GROUP BY ALL), h AS (SELECT label, block, q, chunks, [list_cosine_similarity(q, c) for c in chunks] AS sims FROM q LEFT JOIN g USING (label, block))
         SELECT label, block, coalesce(len(chunks), 0)::BIGINT AS n_chunks, coalesce(round(list_sum([exp(x - list_max(sims)) * x for x in sims]) / list_sum([exp(x - list_max(sims)) for x in sims]), 6), 0) AS method_a,

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.session import materialize, release
+
 CORRUPT = "_corrupt_record"
 
 
@@ -95,9 +97,11 @@ def write_ordered(df: DataFrame, path: str, order: str, present: Column | None =
 
 
 def write_with_side_file(df: DataFrame, path: str, side_path: str, key: str, side: list[str]) -> None:
-    """The rows without some bulky columns, and these with the key in a file of their own."""
-    write_lines(df.drop(*side), path)
-    write_lines(df.select(key, *side), side_path)
+    """The rows without some bulky columns, and these with the key in a file of their own. The plan runs once."""
+    rows = materialize(df, "rows")
+    write_lines(rows.drop(*side), path)
+    write_lines(rows.select(key, *side), side_path)
+    release(rows)
 
 
 def write_log(df: DataFrame, path: str, template: str, *columns: str) -> None:
@@ -105,9 +109,10 @@ def write_log(df: DataFrame, path: str, template: str, *columns: str) -> None:
     df.select(F.format_string(template, *columns).alias("value")).write.mode("overwrite").text(path)
 
 
-def preview(df: DataFrame, n: int = 5, clip: int = 200) -> DataFrame:
-    """The first rows with their texts clipped, for people to look at."""
-    return df.limit(n).select(*[F.substring(f.name, 1, clip).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
+def preview(df: DataFrame, n: int = 5, clip: int = 200, order: list[str] | None = None) -> DataFrame:
+    """The first rows by `order` (any rows without one) with their texts clipped, for people to look at."""
+    some = (df.orderBy(*order) if order else df).limit(n)
+    return some.select(*[F.substring(f.name, 1, clip).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 
 
 def resume(items: DataFrame, done_path: str, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
