@@ -60,21 +60,21 @@ def signatures(df: DataFrame, key: str, text: str, carry: list[str] = [], n_band
     kinds = src.schema.fields[:-1]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "print_hi long, print_lo long, bands array<long>"
     rng = np.random.default_rng(20_240_229)
-    mul = rng.integers(1, 1 << 63, n_bands * n_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, n_bands * n_rows, dtype=np.uint64)
+    mul = rng.integers(1, 1 << 31, n_bands * n_rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, n_bands * n_rows, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 f = Flat(part.column(len(kinds)))
-                h, rows = element_hashes(f), len(f.n)
+                h, rows = (element_hashes(f) >> np.uint64(32)).astype(np.uint32), len(f.n)  # 32 bits multiply several at once
                 keys = np.zeros((rows, n_bands), np.uint64)
                 bits = np.zeros((rows, PRINT_BITS), np.uint8)
                 starts = np.minimum(f.start[:-1], max(0, len(h) - 1))
                 for k in range(n_bands * n_rows):
-                    v = (h * mul[k] + add[k]) >> np.uint64(16)
-                    low = np.minimum.reduceat(v, starts) if len(v) else np.zeros(rows, np.uint64)
+                    v = h * mul[k] + add[k]
+                    low = (np.minimum.reduceat(v, starts) if len(v) else np.zeros(rows, np.uint32)).astype(np.uint64)
                     low[f.n == 0] = 0
                     if k % n_rows == 0:
                         keys[:, k // n_rows] = k // n_rows
