@@ -43,17 +43,20 @@ def word_table(words: DataFrame, tokenizer_file: str) -> DataFrame:
     return counted.mapInArrow(encode, "word string, n long, word_ids array<int>")
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_file: str, common_words: int = 50_000, common_chars: int = 48) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_file: str, common_words: int = 50_000, common_chars: int = 48, long_words: int = 2_000, long_chars: int = 1_000) -> DataFrame:
     """`key` and ids (array<int>, never null) of every row, without special tokens.
 
     Null and empty texts give an empty list; blanks are text; the strings of special tokens are ordinary text. Repeated keys and
-    rows keep a row each. Other columns are ignored. `common_words` words of at most `common_chars` characters are sent to the
-    executors (at most about 20 MB); words beyond that are joined, so the result doesn't depend on either figure.
+    rows keep a row each. Other columns are ignored. The commonest `common_words` words of at most `common_chars` characters, and the
+    commonest `long_words` of at most `long_chars` (rules and separators may be in every text), are sent to the executors, some 20
+    MB at most; words beyond that are joined, so the result doesn't depend on these figures.
     """
     spark = df.sparkSession
     src = df.select(F.col(key).alias("key"), pretokens(text).alias("words"))
     table = materialize(word_table(src, tokenizer_file), "words")
-    common = table.filter(F.char_length("word") <= common_chars).orderBy(F.desc("n"), "word").limit(common_words).select("word", "word_ids").toArrow()
+    size = F.char_length("word")
+    short, long = (table.filter(some).orderBy(F.desc("n"), "word").limit(most) for some, most in ((size <= common_chars, common_words), ((size > common_chars) & (size <= long_chars), long_words)))
+    common = short.unionByName(long).select("word", "word_ids").toArrow()
     flat_ids = common.column("word_ids").combine_chunks()
     known = spark.sparkContext.broadcast(
         (common.column("word").to_pylist(), pc.list_value_length(flat_ids).to_numpy(zero_copy_only=False).astype(np.int64), flat_ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
