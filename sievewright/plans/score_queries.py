@@ -261,7 +261,23 @@ def _log_odds(x: str) -> str:
     return f"({x} - CASE WHEN least({x}, -1e-7) < -ln(2) THEN ln(1 - exp(least({x}, -1e-7))) ELSE ln(1 - exp(least({x}, -1e-7))) END)"
 
 
+def _words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda v: v <> '')"
+
+
+_BUDGET = 340
+
+
 SQL = {
+    "token_budget": f"""WITH w AS (SELECT row_id, {_U} = 'ORPO' AS orpo, problem_statement, {_words('problem_statement')} AS pw, len({_words('buggy_slice')}) AS s0, len({_words('win_rc')}) AS wc, len({_words('win_rs')}) AS ws, len({_words('lose_rc')}) AS lc, len({_words('lose_rs')}) AS ls FROM final_row),
+        a AS (SELECT *, len(pw) AS p0, CASE WHEN orpo THEN wc + ws ELSE (CASE WHEN wc > 0 THEN wc ELSE lc END) + (CASE WHEN ws > 0 THEN ws ELSE ls END) END AS won FROM w),
+        b AS (SELECT *, p0 + s0 + won + CASE WHEN orpo THEN lc + ls ELSE 0 END AS total0, p0 / nullif(p0 + s0, 0) AS r0 FROM a), c AS (SELECT *, total0 > {_BUDGET} AND p0 + s0 > 0 AS soft, total0 - {_BUDGET} AS over0 FROM b),
+        d AS (SELECT *, CASE WHEN soft THEN least(floor(over0 * r0), floor(p0 * 0.3::DOUBLE))::BIGINT ELSE 0 END AS cp, CASE WHEN soft THEN least(floor(over0 * (1 - r0)), floor(s0 * 0.3::DOUBLE))::BIGINT ELSE 0 END AS cs FROM c),
+        e AS (SELECT *, p0 - cp AS p1, s0 - cs AS s1, total0 - cp - cs AS total1 FROM d), f AS (SELECT *, CASE WHEN orpo AND total1 > {_BUDGET} THEN least(total1 - {_BUDGET}, floor((lc + ls) * 0.3::DOUBLE)::BIGINT) ELSE 0 END AS losing FROM e),
+        g AS (SELECT *, total1 - losing AS total2, p1 / nullif(p1 + s1, 0) AS r1 FROM f), h AS (SELECT *, total2 > {_BUDGET} AND p1 + s1 > 0 AS force, total2 - {_BUDGET} AS over2 FROM g),
+        i AS (SELECT *, CASE WHEN force THEN floor(over2 * r1)::BIGINT + 1 ELSE 0 END AS fp, CASE WHEN force THEN floor(over2 * (1 - r1))::BIGINT + 1 ELSE 0 END AS fs FROM h), j AS (SELECT *, greatest(p1 - fp, 0) AS p2, greatest(s1 - fs, 0) AS s2 FROM i)
+        SELECT row_id, total0::INT AS original_total, (total2 - p1 - s1 + p2 + s2)::INT AS final_total, coalesce(nullif(concat_ws(',', CASE WHEN soft THEN 'soft_context(' || (cp + cs) || ')' END, CASE WHEN losing > 0 THEN 'soft_losing(' || losing || ')' END, CASE WHEN force THEN 'force_context(' || (fp + fs) || ')' END), ''), 'none') AS actions,
+        md5(CASE WHEN p2 = p0 THEN coalesce(problem_statement, '') ELSE array_to_string(pw[1:p2], ' ') END) AS problem FROM j""",
     "cosine_pairs": f"WITH {_Q} SELECT vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings JOIN q USING (label)",
     "pair_scores": """WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 4 AS k FROM embeddings), g AS (SELECT label, k, list(e ORDER BY vec_id) AS v FROM n GROUP BY ALL)
         SELECT label, k, CASE WHEN len(v) = 4 THEN round(list_cosine_similarity(v[1], v[2]), 6) ELSE 0 END AS score1, CASE WHEN len(v) = 4 THEN round(list_cosine_similarity(v[3], v[4]), 6) ELSE 0 END AS score2 FROM g""",
