@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import col, full_trim
+from sievewright.functions.text import col, formatted_segments, full_trim
 
 LINE_ENDS = r"\r\n|[\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
@@ -89,7 +89,7 @@ def removed_side(c: str | Column, titled: bool = False) -> Column:
 def patch_like(c: str | Column) -> Column:
     """A diff without its `diff`, `index` and new-file lines; old-file lines become paths."""
     kept = F.filter(lines(c), lambda x: ~_starts(x, "diff", "index", "+++ b/"))
-    return joined(F.transform(kept, lambda x: F.when(_starts(x, "--- a/"), F.substring(x, F.lit(7), F.length(x))).otherwise(x)))
+    return joined(F.transform(kept, lambda x: F.when(_starts(x, "--- a/"), full_trim(F.substring(x, F.lit(7), F.length(x)))).otherwise(x)))
 
 
 def normalized_patch(c: str | Column) -> Column:
@@ -195,22 +195,25 @@ def buggy_slice(c: str | Column) -> Column:
 
 
 def refenced(c: str | Column) -> Column:
-    """A buggy slice as fenced files: a line with a slash that is no code line begins a file; what comes before the first is lost."""
-    start = F.struct(F.lit(None).cast("string").alias("file"), F.array().cast("array<string>").alias("body"), F.array().cast("array<string>").alias("done"))
+    """A buggy slice as fenced segments (see text.formatted_segments): a line with a slash that is no code line begins a file; what
+    comes before the first is lost, and a file without lines is left out."""
+    none = F.array().cast("array<struct<file:string,content:string>>")
+    start = F.struct(F.lit(None).cast("string").alias("file"), F.array().cast("array<string>").alias("body"), none.alias("done"))
 
     def flushed(acc: Column) -> Column:
-        text = F.concat(acc["file"], F.lit("\n```\n"), joined(acc["body"]), F.lit("\n```"))
-        return F.when(acc["file"].isNotNull() & (F.size(acc["body"]) > 0), F.concat(acc["done"], F.array(text))).otherwise(acc["done"])
+        own = F.struct(acc["file"].alias("file"), joined(acc["body"]).alias("content"))
+        return F.when(acc["file"].isNotNull() & (F.size(acc["body"]) > 0), F.concat(acc["done"], F.array(own))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
         head = ~_starts(x, "-", " ") & F.contains(x, F.lit("/"))
         return F.struct(
-            F.when(head, full_trim(x)).otherwise(acc["file"]).alias("file"),
+            F.when(head, x).otherwise(acc["file"]).alias("file"),
             F.when(head, F.array().cast("array<string>")).when(acc["file"].isNotNull(), F.concat(acc["body"], F.array(x))).otherwise(acc["body"]).alias("body"),
             F.when(head, flushed(acc)).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.array_join(F.aggregate(lines(c), start, step, flushed), "\n\n")
+    segments = F.aggregate(lines(c), start, step, flushed)
+    return formatted_segments(F.transform(segments, lambda s: F.struct(s.alias("suspicious"))), supplementary=False)
 
 
 # cleaning with folds -------------------------------------------------------------------------------------------------------------

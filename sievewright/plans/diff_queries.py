@@ -116,6 +116,12 @@ SQL = {
         SELECT s.row_id, coalesce(g.n, 0)::BIGINT AS n_change, md5(coalesce(change, '')) AS change, md5(coalesce(code, '')) AS code, least(2000, length(coalesce(plain, '')))::BIGINT AS kept_chars, md5(substr(coalesce(plain, ''), 1, 2000)) AS kept FROM scored s LEFT JOIN g USING (row_id)""",
     "remove_add_pairs": f"""WITH {UNNESTED.replace('{t}', 'cot')}, g AS (SELECT row_id, string_agg(concat_ws(chr(10), path, array_to_string(old, chr(10)), array_to_string(new, chr(10))), chr(10) || chr(10) ORDER BY n) AS t FROM ok GROUP BY row_id)
         SELECT s.row_id, md5(coalesce(t, '')) AS pairs FROM cot s LEFT JOIN g USING (row_id)""",
+    "refenced_slices": f"""WITH l AS (SELECT row_id, unnest({ls('raw_diff')}) AS x, generate_subscripts({ls('raw_diff')}, 1) AS i FROM scored),
+        k AS (SELECT row_id, i, CASE WHEN starts_with(x, '--- a/') THEN {trim('substr(x, 7)')} ELSE x END AS x FROM l WHERE NOT (starts_with(x, 'diff ') OR starts_with(x, 'index ') OR starts_with(x, '@@') OR starts_with(x, '+')) AND {trim('x')} <> ''),
+        h AS (SELECT *, NOT starts_with(x, '-') AND NOT starts_with(x, ' ') AND contains(x, '/') AS head FROM k), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY row_id ORDER BY i) AS seg FROM h),
+        f AS (SELECT row_id, seg, max(x) FILTER (head) AS file, string_agg(x, {NL} ORDER BY i) FILTER (NOT head) AS content FROM s WHERE seg > 0 GROUP BY row_id, seg),
+        n AS (SELECT row_id, seg, '--- Segment Group ' || row_number() OVER (PARTITION BY row_id ORDER BY seg) || ' ---' || {NL} || '[Suspicious] file: ' || file || {NL} || '```' || {NL} || regexp_replace(content, '{_W}+$', '') || {NL} || '```' || {NL} AS t FROM f WHERE content IS NOT NULL),
+        g AS (SELECT row_id, string_agg(t, {NL} ORDER BY seg) AS t FROM n GROUP BY row_id) SELECT scored.row_id, md5(coalesce(t, '')) AS fenced FROM scored LEFT JOIN g USING (row_id)""",
     "patch_segments": f"""WITH l AS (SELECT row_id, unnest({ls('raw_diff')}) AS t, generate_subscripts({ls('raw_diff')}, 1) AS i FROM cot), s AS (SELECT *, sum(CASE WHEN starts_with(t, '--- ') THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY i) AS seg FROM l),
         f AS (SELECT row_id, seg, max(CASE WHEN starts_with(t, '--- a/') THEN {trim('substr(t, 7)')} WHEN starts_with(t, '--- ') THEN {trim('substr(t, 5)')} END) AS file, string_agg(substr(t, 2), chr(10) ORDER BY i) FILTER ((starts_with(t, '-') OR starts_with(t, ' ')) AND NOT starts_with(t, '---')) AS content FROM s WHERE seg > 0 GROUP BY row_id, seg)
         SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY seg) - 1)::BIGINT AS pos, file, md5(content) AS content FROM f WHERE content IS NOT NULL""",

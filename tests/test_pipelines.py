@@ -53,7 +53,7 @@ def test_scores_partition_and_training(spark):
 def test_evaluation_and_report(spark):
     tasks = spark.createDataFrame([("i", "It fails.", "--- a/src/a.py\n+++ b/src/a.py\n-x\n y", "failed")] * 2, "instance_id string, problem_statement string, golden_patch string, status string")
     prompts = p.prepare_evaluation(tasks, "R", "G", "T", "A").collect()
-    assert len(prompts) == 1 and "src/a.py\n```\n-x\n y\n```" in prompts[0]["prompt"]
+    assert len(prompts) == 1 and "--- Segment Group 1 ---\n[Suspicious] file: src/a.py\n```\n-x\n y\n```\n" in prompts[0]["prompt"]
     raw = spark.createDataFrame([("i", "m", "failed", "# Root Cause:\nthe lock is held too long\n\n# Repair Suggestion:\nrelease the lock in time now"), ("i", "n", "resolved", None)], "instance_id string, model string, status string, raw_output string")
     pred = p.read_predictions(raw)
     assert {x["model"]: x["valid"] for x in pred.collect()} == {"m": True, "n": False}
