@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.plans import diff_queries, relational_queries, score_queries, star_queries, text_queries
+from sievewright.plans import diff_queries, io_queries, relational_queries, score_queries, star_queries, text_queries
 
-_PARTS = (relational_queries, text_queries, diff_queries, score_queries, star_queries)
+_PARTS = (relational_queries, text_queries, diff_queries, score_queries, star_queries, io_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
