@@ -56,16 +56,19 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
 
 
 def numbered(words: Column) -> Column:
-    """Each word with its number among equal ones, so that an array with repeats is a set. Sorted, so not quadratic."""
+    """Each word with its number among equal ones, so that an array with repeats is a set. Sorted, so not quadratic.
+
+    Elements are texts (word, a zero character, number), since sets of texts are hashed and sets of structs are compared pair by
+    pair; a null word is an element of its own, the zero character twice.
+    """
 
     def tally(s: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
         sizes = let(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda x, y: y - x))
         runs = F.arrays_zip(F.array_distinct(s).alias("word"), sizes.alias("n"))
-        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.struct(r["word"].alias("word"), k.alias("k")))))
+        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat(F.coalesce(r["word"], F.lit("\0")), F.lit("\0"), k.cast("string")))))
 
-    empty = F.array().cast("array<struct<word:string,k:int>>")
-    return F.when(F.size(words) > 0, let(F.sort_array(words), tally)).otherwise(empty)
+    return F.when(F.size(words) > 0, let(F.sort_array(words), tally)).otherwise(F.array().cast("array<string>"))
 
 
 def multiset_jaccard(a: Column, b: Column, empty: float) -> Column:
