@@ -6,16 +6,19 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sievewright.llm.endings import SPACE
+from sievewright.session import materialize, release
 
 TABLE = 1 << 16
+BLOCK = 1 << 10
 WORD = re.compile(r"\w+")
 FENCED = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 LOGGED = re.compile(r"^(?:\d{4}-\d\d-\d\d.*|\s*File \".*|Traceback .*|\s{2,}\S.*|\w+(?:Error|Exception|Iteration)\b:.*)$", re.MULTILINE)
@@ -93,12 +96,10 @@ class NaiveBayes:
         self.names, self.logs = names, logs
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str]) -> NaiveBayes:
-        names = sorted({*labels})
-        slots, rows = grams(texts)
-        own = np.array([names.index(x) for x in labels], np.int64)
-        counts = np.bincount(slots * len(names) + own[rows], minlength=TABLE * len(names)).reshape(TABLE, len(names)) + 0.5
-        return cls(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    def of_counts(cls, names: list[str], counts: np.ndarray) -> NaiveBayes:
+        """From how often each slot (rows) occurs in each class (columns)."""
+        smooth = counts + 0.5
+        return cls(names, np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text under each class."""
@@ -109,21 +110,60 @@ class NaiveBayes:
         return out
 
 
-def fit_languages(df: DataFrame, text: str, lang: str, key: str, per_language: int = 300, least: int = 20, most_languages: int = 200) -> NaiveBayes:
-    """A model of the languages that `lang` names, from at most `per_language` texts of each (the first by a hash of the key).
+def portions(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of at least `chars` characters each but the last."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def fit_languages(df: DataFrame, text: str, lang: str, key: str, least: int = 20, most_languages: int = 200) -> NaiveBayes:
+    """A model of the languages that `lang` names, from the n-grams of all their texts; `key` names the rows, no choice is made by it.
 
     The `most_languages` commonest labels count (more than there are two-letter codes of languages, 26 MB of model a hundred); those with fewer than `least` texts, blank and undetermined ones are left out.
+    Each task adds up its slots by language, and blocks of `BLOCK` slots are added up across tasks.
     """
-    label = F.lower(F.trim(lang))
-    rows = df.select(F.col(key).alias("k"), label.alias("l"), F.col(text).alias("t")).filter("t IS NOT NULL AND l IS NOT NULL AND l NOT IN ('', 'und') AND char_length(t) BETWEEN 80 AND 4000")
-    rows = rows.join(rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).select("l"), "l")
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).filter(F.col("r") <= per_language)
-    got = ranked.select("l", "t").toArrow().to_pydict()
-    counts = {x: got["l"].count(x) for x in {*got["l"]}}
-    keep = [(plain(t), x) for t, x in zip(got["t"], got["l"], strict=True) if counts[x] >= least]
-    if not keep:
+    rows = df.select(F.lower(F.trim(lang)).alias("l"), F.col(text).alias("t")).filter("trim(t) != '' AND l IS NOT NULL AND l NOT IN ('', 'und')")
+    common = rows.groupBy("l").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "l").limit(most_languages)
+    names = sorted(r["l"] for r in common.collect())
+    if not names:
         raise ValueError("no labelled texts to fit the languages on")
-    return NaiveBayes.fit([t for t, _ in keep], [x for _, x in keep])
+
+    def batch(sums: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], names=["l", "block", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            texts: dict[str, list[str]] = {}
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                texts.setdefault(x, []).append(plain(t.rstrip()))
+            for x, own in texts.items():
+                total = sums.setdefault(x, np.zeros(TABLE, np.int64))
+                for part in portions(own, 200_000):
+                    total += np.bincount(grams(part)[0], minlength=TABLE)
+        for x, total in sums.items():
+            yield batch({(x, k): n for k, n in enumerate(total.reshape(-1, BLOCK))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for b in batches:
+            for x, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[x, k] = sums.get((x, k), 0) + np.frombuffer(n, np.int64)
+        yield batch(sums)
+
+    kind = "l string, block int, counts binary"
+    got = rows.filter(F.col("l").isin(names)).mapInArrow(count, kind).repartition("l", "block").mapInArrow(add, kind).toArrow()
+    counts = np.zeros((TABLE, len(names)))
+    for x, k, n in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        counts[k * BLOCK : (k + 1) * BLOCK, names.index(x)] = np.frombuffer(n, np.int64)
+    return NaiveBayes.of_counts(names, counts)
 
 
 def shape(c: str) -> str:
@@ -131,6 +171,13 @@ def shape(c: str) -> str:
     return "\x01" if c.isalpha() else "\x02" if c.isdigit() else "\x03" if c.isspace() else c
 
 
+@cache
+def folded(c: str) -> str:
+    """A character in lower case, digits alike, and so those that mark contexts; always one character."""
+    low = c.lower()
+    return "0" if c.isdecimal() else "\x06" if c < "\x06" else low if len(low) == 1 else c
+
+
 class Ends:
     """How much likelier a text ends after its last n-gram than it goes on: an end-of-text n-gram model with backing off.
 
@@ -139,6 +186,12 @@ class Ends:
     """
 
     ORDER = 4
+    #: Units of a place's weight. Weights are whole numbers, so sums don't depend on the order of tasks.
+    UNIT = 10**8
+    #: A context counts if it was seen so often, and once in so many texts: with more texts the contexts don't get rarer, which
+    #: would set apart the wordings of the texts that the model is fitted on from those it judges.
+    LEAST, RARE = 20, 400
+    STATES = ("", "\x04", "\x05", "\x04\x05")
     OPENING = re.compile(r"^[ \t]*(?:```|~~~)|<think>|</think>", re.MULTILINE | re.IGNORECASE)
 
     def __init__(self, ratios: dict[str, float]):
@@ -147,7 +200,7 @@ class Ends:
     @classmethod
     def contexts(cls, text: str, at: int, open_: str) -> list[str]:
         """The contexts of a place in a text, from the longest to the shortest."""
-        tail = re.sub(r"\d", "0", text[max(0, at - cls.ORDER) : at].lower())
+        tail = "".join(map(folded, text[max(0, at - cls.ORDER) : at]))
         return [*(open_ + tail[k:] for k in range(len(tail))), open_ + "\x00" + (shape(tail[-1]) if tail else "")]
 
     @classmethod
@@ -161,27 +214,68 @@ class Ends:
                 thought = x == "<think>"
             else:
                 fence = not fence
-            out.append((m.end(), ("\x04" if thought else "") + ("\x05" if fence else "")))
+            out.append((m.end(), cls.STATES[thought + 2 * fence]))
+        return out
+
+    @classmethod
+    def places(cls, texts: list[str], cuts: int) -> dict[tuple[str, str], int]:
+        """Weight of all places within the texts by (the `ORDER` characters before it, what is open). Blanks before a place don't count; a text's places weigh `cuts` units together."""
+        tables = []
+        for part in portions(texts, 500_000):
+            flat = np.frombuffer("".join(part).encode("utf-32-le", "replace"), np.uint32)
+            n = np.array([len(t) for t in part])
+            starts = np.cumsum(n) - n
+            start, weight = np.repeat(starts, n), np.repeat(cuts * cls.UNIT // np.maximum(n - 1, 1), n)
+            state = np.zeros(len(flat), np.int64)
+            for s, t in zip(starts.tolist(), part, strict=True):
+                for (k, open_), (e, _) in pairwise([*cls.openings(t), (len(t), "")]):
+                    state[s + k : s + e] = cls.STATES.index(open_)
+            chars, which = np.unique(flat, return_inverse=True)
+            low = np.array([ord(folded(chr(c))) for c in chars.tolist()], np.int64)[which]
+            black = ~np.isin(chars, [ord(c) for c in SPACE])[which]
+            # texts end in a character that isn't blank, so this never falls below a text's start
+            at = np.concatenate(([0], np.maximum.accumulate(np.where(black, np.arange(1, len(flat) + 1), 0))[:-1]))
+            inner = np.arange(len(flat)) > start
+            at, start, weight = at[inner], start[inner], weight[inner]
+            back = [np.where(at - k >= start, low[np.maximum(at - k, 0)] + 1, 0) for k in range(1, cls.ORDER + 1)]
+            tables.append(pa.table({"a": back[0] << 22 | back[1], "b": back[2] << 24 | back[3] << 2 | state[at], "n": weight}))
+            tables[-1] = tables[-1].group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
+        if not tables:
+            return {}
+        out, mask = {}, (1 << 22) - 1
+        for a, b, n in zip(*(c.to_pylist() for c in pa.concat_tables(tables).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).columns), strict=True):
+            out["".join(chr(c - 1) for c in (b >> 2 & mask, b >> 24, a & mask, a >> 22) if c), cls.STATES[b & 3]] = n
         return out
 
     @classmethod
-    def fit(cls, whole: list[str], cuts: int = 20, least: int = 20, seed: int = 7) -> Ends:
-        """From whole texts: where they end, against `cuts` places within each of them. Contexts seen under `least` times are left out."""
-        rng = np.random.default_rng(seed)
-        ends, mids = Counter(), Counter()
-        n_ends = n_mids = 0
-        for t in whole:
-            t = t.rstrip(SPACE)
-            if not t:
-                continue
-            opened = cls.openings(t)
-            ends.update(cls.contexts(t, len(t), opened[-1][1]))
-            n_ends += 1
-            for at in rng.integers(len(t) // 4, len(t), cuts).tolist():
-                at = len(t[:at].rstrip(SPACE))
-                mids.update(cls.contexts(t, at, [o for k, o in opened if k <= at][-1]))
-                n_mids += 1
-        return cls({c: math.log((ends[c] + 0.2) / max(1, n_ends)) - math.log((mids[c] + 0.2) / max(1, n_mids)) for c in ends | mids if ends[c] + mids[c] >= least})
+    def counted(cls, whole: list[str], cuts: int) -> dict[str, tuple[int, int]]:
+        """For each context the weight of the texts that end after it, and of the places within texts that follow it. The empty one has the totals."""
+        texts = [t for t in (x.rstrip(SPACE) for x in whole) if t]
+        ends = Counter((t[-cls.ORDER :], cls.openings(t)[-1][1]) for t in texts)
+        out = {"": (0, 0)}
+        for inner, found in enumerate(({x: n * cls.UNIT for x, n in ends.items()}, cls.places(texts, cuts))):
+            for (tail, open_), n in found.items():
+                for c in ("", *cls.contexts(tail, len(tail), open_)):
+                    e, m = out.get(c, (0, 0))
+                    out[c] = (e, m + n) if inner else (e + n, m)
+        return out
+
+    @classmethod
+    def support(cls, n_ends: int) -> int:
+        """The least weight of a context that counts: `LEAST` sights, and one in `RARE` texts."""
+        return max(cls.LEAST * cls.UNIT, n_ends // cls.RARE)
+
+    @classmethod
+    def fit(cls, whole: list[str], cuts: int = 20) -> Ends:
+        """From whole texts: where they end, against all places within them, which count as `cuts` a text."""
+        return cls.of_counts(cls.counted(whole, cuts))
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[int, int]]) -> Ends:
+        """From `counted`, whatever it was added up over; contexts without `support` are left out."""
+        (n_ends, n_mids), u = counts[""], cls.UNIT
+        seen = {c: x for c, x in counts.items() if c and sum(x) >= cls.support(n_ends)}
+        return cls({c: math.log((e / u + 0.2) / max(1, n_ends / u)) - math.log((m / u + 0.2) / max(1, n_mids / u)) for c, (e, m) in seen.items()})
 
     def ratio(self, text: str) -> float:
         """Log-ratio of ending to going on after the text's last characters; below 0 for a text that was cut."""
@@ -192,10 +286,28 @@ class Ends:
         return -1.0 if not t or self.openings(t)[-1][1] or t[-1].isalnum() else 0.0
 
 
-def fit_ends(df: DataFrame, key: str, text: str, most: int = 8000) -> Ends:
-    """A model of how whole texts end, from at most `most` texts that are known to be whole (the first by a hash of the key)."""
-    rows = df.select(F.col(key).alias("k"), F.right(F.col(text), F.lit(2000)).alias("t")).filter("char_length(t) >= 60").orderBy(F.xxhash64("k"), "k").limit(most).toArrow().to_pydict()
-    return Ends.fit(rows["t"] or ["It ends here.", "So does this."])
+def fit_ends(df: DataFrame, key: str, text: str, cuts: int = 20) -> Ends:
+    """A model of how whole texts end, from all texts of `df`, which are known to be whole; `key` names the rows, no choice is made by it.
+
+    Texts under 60 characters are left out, since placeholders are among them. Contexts are counted in each batch and added up by
+    a shuffle of contexts; those with support come to the driver, 5 · `RARE` · (`cuts` + 1) at most however many texts there are.
+    """
+    rows = df.select(F.col(text).alias("t")).filter("char_length(t) >= 60")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Ends.counted(b.column(0).to_pylist(), cuts)
+            ends, mids = zip(*found.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array(ends, pa.int64()), pa.array(mids, pa.int64())], names=["context", "ends", "mids"])
+
+    seen = materialize(rows.mapInArrow(count, "context string, ends long, mids long").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids")), "contexts")
+    total = seen.filter("context = ''").first()
+    least = Ends.support(total["ends"]) if total else 0
+    got = seen.filter(F.col("ends") + F.col("mids") >= least).toArrow().to_pydict()
+    release(seen)
+    if not total or not total["ends"]:
+        return Ends.fit(["It ends here.", "So does this."])
+    return Ends.of_counts(dict(zip(got["context"], zip(got["ends"], got["mids"], strict=True), strict=True)))
 
 
 def issue_of(prompt: str) -> str:
